@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every contract of this folder: space and U+0009 to U+000D.
@@ -56,3 +56,27 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Buckets that a group's rows are dealt to for numbering; a group of any size is then sorted in this many pieces.
+BUCKETS = 256
+
+
+def bucket_of(key: Column) -> Column:
+    """0 to 255 from the first byte of the key's MD5: the same in every engine and on every run."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int")
+
+
+def numbered(df: DataFrame, group: str, order: list[Column], name: str, bounded_groups: bool = False) -> DataFrame:
+    """``df`` with ``name``: a gapless number from 0 within each ``group``, by ``_bucket`` and then ``order``.
+
+    Each (group, bucket) is sorted by itself and offset by the counts of the buckets before it, so that a group which
+    holds most rows is no single task. ``bounded_groups``: the groups are few by a parameter, so their counts
+    (groups x 256 rows) may be broadcast.
+    """
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    offsets = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
+    joined = df.withColumn(name, within).join(F.broadcast(offsets) if bounded_groups else offsets, [group, "_bucket"])
+    return joined.withColumn(name, (F.col(name) + F.col("_offset")).cast("long")).drop("_offset")

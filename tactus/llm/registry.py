@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import quality
+from tactus.llm import chat, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op7_sharding": sharding.op7_sharding,
+        "op8_mixing": mixing.op8_mixing,
+        "op10_chat_format": chat.op10_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL}
+    return {
+        "op1_quality_rules": quality.SQL,
+        "op8_mixing": mixing.SQL,
+        "op10_chat_format": chat.SQL,
+    }
