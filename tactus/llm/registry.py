@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import chat, mixing, quality, sharding
+from tactus.llm import bpe, chat, mixing, quality, sharding, tokenstore
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_token_store": tokenstore.op2_token_store,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op10_chat_format": chat.op10_chat_format,
