@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import bpe, chat, mixing, quality, sharding, tokenstore
+from tactus.llm import bpe, chat, mixing, pii, quality, sharding, tokenstore
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
+        "op9_pii": pii.op9_pii,
         "op10_chat_format": chat.op10_chat_format,
     }
 
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.SQL,
         "op8_mixing": mixing.SQL,
+        "op9_pii": pii.op9_pii,
         "op10_chat_format": chat.SQL,
     }
