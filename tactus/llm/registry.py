@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import bpe, chat, mixing, pii, quality, sharding, tokenstore
+from tactus.llm import bpe, chat, mixing, pii, quality, sharding, simhash, tokenstore
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_token_store": tokenstore.op2_token_store,
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_simhash": simhash.op4_simhash,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_pii": pii.op9_pii,
