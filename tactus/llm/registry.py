@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import bpe, chat, mixing, pii, quality, sharding, simhash, tokenstore
+from tactus.llm import bpe, chat, mixing, pii, quality, sharding, simhash, tokenstore, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": tokenstore.op2_token_store,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_simhash": simhash.op4_simhash,
+        "op6_topk": topk.op6_topk,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_pii": pii.op9_pii,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.SQL,
+        "op6_topk": topk.SQL,
         "op8_mixing": mixing.SQL,
         "op9_pii": pii.op9_pii,
         "op10_chat_format": chat.SQL,
