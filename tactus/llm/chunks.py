@@ -20,42 +20,42 @@ _INSIDE = re.compile(r" (?<=\s )\s")
 _CUT = re.compile(r"(?<!\s) | (?!\s)")
 
 #: Entries of one generation, the longest chunk that is kept, and characters handled at a time: a worker's memory bound.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 450_000
 CACHE_CHARS = 48
 GROUP_CHARS = 1 << 20
 
 
-class Chunks(dict):
-    """Encodes texts chunk by chunk. ``self[w]`` is the encoding of a space and w; recent short chunks are remembered
+class Chunks:
+    """Encodes texts chunk by chunk. ``known[w]`` is the encoding of a space and w; recent short chunks are remembered
     in two generations, and those new in a group of texts go to ``encode_many`` together."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        super().__init__()
-        self.encode_many, self.older = encode_many, {}
+        self.encode_many = encode_many
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        return self.encode_many([" " + word])[0]  # only long ones: they are not remembered
-
-    def _learn(self, texts: list[list[str]]) -> None:
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        new = [w for w in set().union(*texts) if w not in self and len(w) <= CACHE_CHARS]
+    def _learn(self, texts: list[list[str]]) -> list[str]:
+        """Makes every chunk of the texts known, and returns those to forget after the group."""
+        if len(self.known) >= CACHE_ENTRIES:
+            self.older, self.known = self.known, {}
         unknown = []
-        for w in new:
-            if (known := self.older.get(w)) is None:
+        for w in set().union(*texts).difference(self.known):
+            if (old := self.older.get(w)) is None:
                 unknown.append(w)
             else:
-                self[w] = known
-        self.update(zip(unknown, self.encode_many([" " + w for w in unknown])))
+                self.known[w] = old
+        self.known.update(zip(unknown, self.encode_many([" " + w for w in unknown])))
+        return [w for w in unknown if len(w) > CACHE_CHARS]
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         cut = [_CUT.split(x) if _INSIDE.search(x) else x.split(" ") for x in texts]
         heads = self.encode_many([c[0] for c in cut])
         rest = [c[1:] for c in cut]
-        self._learn(rest)
+        long = self._learn(rest)
         for head, words in zip(heads, rest):
-            yield head + b"".join(map(self.__getitem__, words))
+            yield head + b"".join(map(self.known.__getitem__, words))
+        for w in long:
+            del self.known[w]
 
     def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The encoding of each text."""

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,20 +55,55 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
-_ready: dict[str, tuple[Chunks, int]] = {}
+#: Chunks that go to the tokenizer as one text.
+TOGETHER = 256
 
 
-def _tokens(path: str) -> tuple[Chunks, int]:
-    """The chunk encoder of a tokenizer file, and the bytes of an id: one for each worker."""
-    if path not in _ready:
+class Tokens:
+    """The chunk encoder of a tokenizer file: ids as little-endian integers of ``width`` bytes."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        width = 2 if t.get_vocab_size() <= 1 << 16 else 4
-        kind = "H" if width == 2 else "I"
-        _ready[path] = Chunks(lambda texts: [array(kind, e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]), width
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)  # byte-level tokens have a character for each byte
+        self.chunks = Chunks(self.encode_many)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids. Chunks of a space and a sign may follow one another in one text, as no token crosses
+        their start; the tokens' byte lengths tell which are whose."""
+        out = [b""] * len(chunks)
+        joint = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        alone = sorted(set(range(len(chunks))).difference(joint))
+        for i, ids in zip(alone, self._encode([chunks[i] for i in alone])):
+            out[i] = ids.tobytes()
+        groups = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
+        for group, ids in zip(groups, self._encode(["".join([chunks[i] for i in g]) for g in groups])):
+            ends = np.cumsum([len(chunks[i].encode()) for i in group])
+            cuts = (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * self.width
+            data, start = ids.tobytes(), 0
+            for i, cut in zip(group, cuts.tolist()):
+                out[i] = data[start:cut]
+                start = cut
+        return out
+
+
+_ready: dict[str, Tokens] = {}
+
+
+def _tokens(path: str) -> Tokens:
+    """One encoder for each worker and tokenizer file."""
+    if path not in _ready:
+        _ready[path] = Tokens(path)
     return _ready[path]
 
 
@@ -77,7 +111,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, width, ids): each text's ids with the end id, as little-endian integers of ``width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, width = _tokens(path)
+        tokens = _tokens(path)
+        chunks, width = tokens.chunks, tokens.width
         end = END_ID.to_bytes(width, "little")
         for batch in batches:
             ids = pa.array([x + end for x in chunks.texts(x.as_py() for x in batch.column(1))], pa.binary())
@@ -110,7 +145,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str, tokenizer: str) -> str:
     """Writes the files of (doc_id, text) below ``path`` and returns it."""
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer), "tokens")
+    tokens = written(tokenized(docs, tokenizer), "tokens", "zstd")
     ranked = id_counts(tokens).orderBy(F.desc("n"), "id").select("id").collect()  # at most the vocabulary
     by_rank = np.array([r["id"] for r in ranked], np.int64)
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
