@@ -262,10 +262,10 @@ f AS (SELECT track, start, regr_slope(t, x) AS period, regr_intercept(t, x) AS o
 e AS (SELECT w.track, w.start, quantile_cont(abs(t - origin - period * x), 0.5) AS median_error, quantile_cont(abs(t - origin - period * x), 0.95) AS p95_error FROM w JOIN f ON f.track = w.track AND f.start = w.start GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_WIN} SELECT f.track, f.start, round(period, 2) AS period, round(median_error, 0) AS median_error, round(p95_error, 0) AS p95_error, round(span, 2) AS span FROM f JOIN e ON e.track = f.track AND e.start = f.start WHERE period > 0")
+@query(f"WITH {_WIN} SELECT f.track, f.start, round(period, 2) AS period, round(median_error, 0) AS median_error, round(p95_error, 0) AS p95_error, round(span, 3) AS span FROM f JOIN e ON e.track = f.track AND e.start = f.start WHERE period > 0")
 def linear_window(spark, sf):
     fits = lattice.fitted(lattice.windows(_timed(spark, sf), "track"), "track")
-    return fits.select("track", "start", *[F.round(c, d).alias(c) for c, d in (("period", 2), ("median_error", 0), ("p95_error", 0), ("span", 2))])
+    return fits.select("track", "start", *[F.round(c, d).alias(c) for c, d in (("period", 2), ("median_error", 0), ("p95_error", 0), ("span", 3))])
 
 
 @query(f"""WITH {_WIN}, a AS (SELECT f.track, f.start, CAST(60 AS DOUBLE) / period AS bpm, span / (p95_error + CAST(0.005 AS DOUBLE)) ** CAST(1.5 AS DOUBLE) AS score FROM f JOIN e ON e.track = f.track AND e.start = f.start WHERE period > 0),
