@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.plans import grids, signals
+from tactus.plans import checks, grids, signals  # noqa: F401 (checks and signals register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(signals.Q)
+    return dict(grids.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(signals.SQL)
+    return dict(grids.SQL)

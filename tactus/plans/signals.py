@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.operators import cues, events, waves
-from tactus.plans.grids import Q as _ALL
-from tactus.plans.grids import SQL, query, read
-
-Q = _ALL
+from tactus.plans.grids import query, read
 
 
 def _samples(spark, sf) -> DataFrame:
@@ -188,5 +185,3 @@ def split_list(spark, sf):
     parts = F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "")
     return read(spark, sf, "documents", "source", "text").select("source", F.explode(parts).alias("p")).groupBy("source").agg(F.count("*").alias("parts"))
 
-
-__all__ = ["Q", "SQL"]
