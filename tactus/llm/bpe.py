@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tactus.llm.chunks import Chunks
 from tactus.llm.common import no_null, table, vocabulary
 
-#: Remembered joins, segments and pieces: a bound on a worker's memory. Longer ones are not remembered.
-MEMORY = 250_000
+#: Remembered joins, segments and pieces, and chunks: a bound on a worker's memory. Longer ones are not remembered.
+MEMORY = 100_000
+CHUNKS = 150_000
 SEGMENT_BYTES = 6
 PIECE_BYTES = 24
 NEVER = 1 << 60
@@ -44,7 +45,7 @@ class Bpe:
         self.joins: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.segments: dict[bytes, tuple[int, ...]] = {}
         self.done: dict[str, bytes] = {}
-        self.chunks = Chunks(lambda chunks: [self._chunk(c) if c else b"" for c in chunks])
+        self.chunks = Chunks(lambda chunks: [self._chunk(c) if c else b"" for c in chunks], CHUNKS)
 
     def _merged(self, data: bytes) -> tuple[int, ...]:
         """Some bytes, merged from single ones by lowest rank, leftmost first."""

@@ -29,14 +29,14 @@ class Chunks:
     """Encodes texts chunk by chunk. ``known[w]`` is the encoding of a space and w; recent short chunks are remembered
     in two generations, and those new in a group of texts go to ``encode_many`` together."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
+        self.encode_many, self.entries = encode_many, entries
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _learn(self, texts: list[list[str]]) -> list[str]:
         """Makes every chunk of the texts known, and returns those to forget after the group."""
-        if len(self.known) >= CACHE_ENTRIES:
+        if len(self.known) >= self.entries:
             self.older, self.known = self.known, {}
         unknown = []
         for w in set().union(*texts).difference(self.known):
