@@ -10,7 +10,8 @@ Document counts of words and of their first letters, made in Spark, give landmar
 rare in clean ones) and example words of both classes, all bounded; examples also occur with inserted characters. With
 the landmarks' kernel matrix M, a word's features are M^-1/2 k(word, landmarks), and a squared-hinge machine is solved on
 them by Newton steps. The solution is a weight for each landmark;
-an index from subsequences to landmarks gives a word's kernel values, once for each distinct recent word. A
+an index from subsequences to landmarks gives a word's kernel values, once for each distinct recent word; values below
+LEAST_SHARED count as none, and a bound that is summed from a table for many words at once tells which words have none. A
 cut and a slope from the training texts' margins turn a text's margin into a score from 0 to 1.
 
 Edge cases: a null or empty text has no word and gets the lowest score; labels other than 0 and 1 are ignored, and
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ POWER = 3
 WINDOW = 24
 PREFIXES = (4, 5)
 CACHE = 400_000
+GROUP_CHARS = 1 << 20
+#: Characters that the bound tells apart, and the kernel value below which strings share nothing that counts.
+SIGNS = 64
+LEAST_SHARED = 0.3
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 _EDGE = " \t.,;:!?\"'()[]{}<>|*#$%&"
@@ -71,15 +76,16 @@ def subsequences(word: str) -> dict[str, float]:
 _WEIGHT = [DECAY ** max(0, gap - 2) for gap in range(SPAN + 1)]
 
 
-def _unit(word: str) -> dict[str, float]:
-    parts = subsequences(word)
-    norm = _norm(parts)
-    return {u: v / norm for u, v in parts.items()}
+def _norm(word: str) -> float:
+    """The norm of a string of this length: the root of all its subsequences' squared weights, and a constant that
+    keeps very short strings from matching fully."""
+    n = len(word) + 1
+    return math.sqrt(DAMPING + sum((n - gap) * (gap - 1) * _WEIGHT[gap] ** 2 for gap in range(2, min(n, SPAN))))
 
 
-def _norm(parts: dict[str, float]) -> float:
-    """The string's length in the kernel's space; the constant keeps very short strings from matching fully."""
-    return math.sqrt(sum([v * v for v in parts.values()]) + DAMPING)
+def _unit(word: str) -> dict[str, float]:
+    norm = _norm(word)
+    return {u: v / norm for u, v in subsequences(word).items()}
 
 
 def _kernel(left: list[dict[str, float]], right: list[dict[str, float]]) -> np.ndarray:
@@ -135,6 +141,16 @@ class Model:
         for j, x in enumerate(landmarks):
             for u, v in _unit(x).items():
                 self.index.setdefault(u, []).append((j, v))
+        signs = sorted({c for u in self.index for c in u} - {"^"})[: SIGNS - 2]
+        self.sign = np.zeros(1 << 16, np.int32)
+        self.sign[[ord(c) for c in ["^", *signs] if ord(c) < 1 << 16]] = [i + 1 for i, c in enumerate(["^", *signs]) if ord(c) < 1 << 16]
+        number = {c: int(self.sign[ord(c)]) if ord(c) < 1 << 16 else 0 for c in ["^", *signs]}
+        self.most = np.zeros(SIGNS**3, np.float32)
+        for u, near in self.index.items():
+            at = [number.get(c, 0) for c in u]
+            if all(at):
+                self.most[(at[0] * SIGNS + at[1]) * SIGNS + at[2]] = max(v for _, v in near)
+        self.whole = all(all(number.get(c, 0) for c in u) for u in self.index)
 
     @classmethod
     def fitted(cls, landmarks: list[str], toxic: list[str], clean: list[str]) -> Model:
@@ -162,16 +178,42 @@ class Model:
         return self._part(word)
 
     def _part(self, word: str) -> float:
-        parts = subsequences(word)
         shared: dict[int, float] = {}
-        for u, v in parts.items():
+        for u, v in subsequences(word).items():
             for j, x in self.index.get(u, ()):
                 shared[j] = shared.get(j, 0.0) + v * x
-        if not shared:
+        norm = _norm(word)
+        if not shared or max(shared.values()) < LEAST_SHARED * norm:
             return self.bias
-        norm = _norm(parts)
         return self.bias + sum([self.weights[j] * (k / norm) ** POWER for j, k in shared.items()])
 
+    def bounds(self, words: list[str]) -> np.ndarray:
+        """For each word no less than its largest kernel value (before the power) with any landmark: every subsequence
+        counts as it does for the landmark that has most of it."""
+        lengths = np.array([len(w) + 1 for w in words])
+        points = np.frombuffer("".join(["^" + w for w in words]).encode("utf-32-le"), "<u4")
+        codes = self.sign[np.minimum(points, (1 << 16) - 1)]
+        of = np.repeat(np.arange(len(words)), lengths)
+        total = np.zeros(len(words))
+        for last in range(2, SPAN):
+            inside = np.flatnonzero(of[last:] == of[:-last])
+            for middle in range(1, last):
+                at = (codes[inside] * SIGNS + codes[inside + middle]) * SIGNS + codes[inside + last]
+                total += np.bincount(of[inside], self.most[at], len(words)) * _WEIGHT[last]
+        norms = {n: _norm("x" * (n - 1)) for n in set(lengths.tolist())}
+        return total / np.array([norms[n] for n in lengths.tolist()])
+
+    def margins(self, words: list[str]) -> list[float]:
+        """The margin of each word. Words of letters alone whose bound is too small share nothing that counts."""
+        plain = [w.strip(_EDGE) for w in words]
+        simple = [i for i, w in enumerate(plain) if self.whole and 0 < len(w) <= WINDOW and w.isalpha()]
+        out = [math.nan] * len(words)
+        if simple:
+            for i, bound in zip(simple, self.bounds([plain[i] for i in simple]).tolist()):
+                if bound < LEAST_SHARED:
+                    out[i] = self.bias
+        return [self.word(w) if math.isnan(m) else m for w, m in zip(words, out)]
+
     def score(self, margin: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * (margin - self.cut)))))
 
@@ -189,32 +231,48 @@ class Model:
 
 
 class Scorer(dict):
-    """``self[word]`` is a word's margin; recent words are remembered."""
+    """``self[word]`` is a word's margin; recent words are remembered, and those new in a group of texts are scored
+    together."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        got = self.model.word(word)
-        if len(word) <= 2 * WINDOW:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = got
-        return got
+        return self.model.word(word)  # only long ones and runs of letters: they are not remembered
 
     def worst(self, text: str) -> tuple[float, str]:
-        """The margin of the worst word of the text, and the word; without words one below the bias, and ''."""
-        low = text.lower()
-        words = low.split()
-        if not words:
-            return self.model.bias - 1.0, ""
-        at = max(words, key=self.__getitem__)
-        best = self[at], at
-        for run in _SPACED.findall(low):
-            joined = "".join(run.split())
-            best = max(best, (self[joined], joined))
-        return best
+        return next(self.all([text]))
+
+    def all(self, texts: Iterable[str]) -> Iterator[tuple[float, str]]:
+        """For each text the margin of its worst word, and the word; without words one below the bias, and ''."""
+        held, size = [], 0
+        for x in texts:
+            held.append(x)
+            size += len(x)
+            if size >= GROUP_CHARS:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, texts: list[str]) -> Iterator[tuple[float, str]]:
+        lows = [x.lower() for x in texts]
+        words = [x.split() for x in lows]
+        if len(self) >= CACHE:
+            self.clear()
+        new = [w for w in set().union(*words) if w not in self and len(w) <= 2 * WINDOW]
+        self.update(zip(new, self.model.margins(new)))
+        for low, own in zip(lows, words):
+            if not own:
+                yield self.model.bias - 1.0, ""
+                continue
+            scores = list(map(self.__getitem__, own))
+            best = max(scores)
+            best = best, own[scores.index(best)]
+            for run in _SPACED.findall(low):
+                joined = "".join(run.split())
+                best = max(best, (self[joined], joined))
+            yield best
 
 
 _ready: list[tuple[int, Scorer]] = []
@@ -233,7 +291,7 @@ def margins(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(stamp, shared.value)
         for batch in batches:
-            out = [scorer.worst(x.as_py()) for x in batch.column(1)]
+            out = list(scorer.all(x.as_py() for x in batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in out], pa.float64()), pa.array([w.strip(_EDGE)[:WINDOW] for _, w in out], pa.string())], names=["key", "margin", "word"])
 
     return rows.select("key", no_null("text").alias("text")).mapInArrow(run, "key long, margin double, word string")
