@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.llm import bpe, mixing, pii, quality, simhash
+from tactus.llm import bpe, mixing, nearcopies, pii, quality, simhash
 from tactus.llm.common import vocabulary, written
 
 
@@ -18,10 +18,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the least doc_id."""
+    """One document of each group within three bits of a fingerprint, as in op4_simhash: the least doc_id."""
     return simhash.one_of_each(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 at least, exact): the least doc_id."""
+    return simhash.one_of_each(docs, nearcopies.components(docs))
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by marks, n_chars counted anew."""
     return pii.redacted(docs)
@@ -38,14 +43,16 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("pii", redact), ("mixing", mix), ("byte_bpe", encode)]
+#: The same with all near copies found; tests/llm holds STAGES to the groups of op4_simhash.
+WHOLE_STAGES = [(name, near_copies if stage is near_dedup else stage) for name, stage in STAGES]
 
 #: Fingerprints, redaction and BPE are beyond SQL; tests/llm holds run() against a plain Python version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)

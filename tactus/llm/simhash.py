@@ -201,10 +201,13 @@ def _row_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.xxhash64("text"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the least doc_id, null last, then the least text hash."""
+def one_of_each(docs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each component: the least doc_id, null last, then the least text hash.
+
+    ``parts`` has doc_id, tie and root of every row, of ``components`` here (the default) or in tactus.llm.nearcopies.
+    """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
-    first = components(docs).groupBy("root").agg(best.alias("best")).select(F.concat_ws(":", F.coalesce(F.col("best.doc_id").cast("string"), F.lit("null")), F.col("best.tie")).alias("_key"))
+    first = (components(docs) if parts is None else parts).groupBy("root").agg(best.alias("best")).select(F.concat_ws(":", F.coalesce(F.col("best.doc_id").cast("string"), F.lit("null")), F.col("best.tie")).alias("_key"))
     keep = written(first.distinct(), "kept-rows")
     rows = docs.select(_row_key().alias("_key"), F.struct(*docs.columns).alias("_row")).join(keep, "_key")
     again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # rows that repeat wholly
