@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, STEP = 16, 8
+#: The reference's windows for an anchor: also twice as long where a track has as many beats, and no anchor below half.
+ANCHOR_WINDOW = 64
 #: The lattice's default tempo range.
 MIN_BPM, MAX_BPM = 70.0, 150.0
 
@@ -26,18 +28,35 @@ def windows(beats: DataFrame, track: str, size: int = WINDOW, step: int = STEP)
     return beats.join(total, track).select(track, "i", "t", F.explode(starts).alias("start")).withColumn("x", F.col("i") - F.col("start"))
 
 
+def anchor_windows(beats: DataFrame, track: str, size: int = ANCHOR_WINDOW, step: int = STEP) -> DataFrame:
+    """The windows that an anchor is chosen from: (track, size, start, x, t).
+
+    Finite beats from 0 on count. Windows have ``size`` beats, and in tracks of 2 * size beats or more also 2 * size; a
+    shorter track is one window, and one of fewer than size / 2 (or 8) beats has none.
+    """
+    own = beats.where((F.col("t") >= 0) & (F.col("t") < float("inf"))).select(track, "i", "t")
+    own = own.withColumn("i", F.row_number().over(Window.partitionBy(track).orderBy("i")) - 1)
+    n = F.col("_n")
+    some = F.when(n < size, F.array(n)).when(n < 2 * size, F.array(F.lit(size).cast("long"))).otherwise(F.array(*[F.lit(k).cast("long") for k in (size, 2 * size)]))
+    total = own.groupBy(track).agg(F.count("*").alias("_n")).where(n >= max(8, size // 2)).select(track, "_n", F.explode(some).alias("size"))
+    low = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("size") + 1) / step))
+    starts = F.filter(F.transform(F.sequence(low, F.floor(F.col("i") / step)), lambda k: k * step), lambda s: s <= n - F.col("size"))
+    return own.join(total, track).where(low <= F.floor(F.col("i") / step)).select(track, "size", "i", "t", F.explode(starts).alias("start")).withColumn("x", F.col("i") - F.col("start"))
+
+
 def fitted(windowed: DataFrame, track: str) -> DataFrame:
     """Least squares of each window: period, origin, its span and the median and 95th percentile of the errors."""
-    line = windowed.groupBy(track, "start").agg(F.regr_slope("t", "x").alias("period"), F.regr_intercept("t", "x").alias("origin"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    key = [track, *(["size"] if "size" in windowed.columns else []), "start"]
+    line = windowed.groupBy(*key).agg(F.regr_slope("t", "x").alias("period"), F.regr_intercept("t", "x").alias("origin"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     err = F.abs(F.col("t") - F.col("origin") - F.col("period") * F.col("x"))
-    errors = windowed.join(line, [track, "start"]).groupBy(track, "start").agg(F.percentile(err, 0.5).alias("median_error"), F.percentile(err, 0.95).alias("p95_error"))
-    return line.join(errors, [track, "start"]).where("period > 0").withColumns({"bpm": 60.0 / F.col("period"), "span": F.col("hi") - F.col("lo")})
+    errors = windowed.join(line, key).groupBy(*key).agg(F.percentile(err, 0.5).alias("median_error"), F.percentile(err, 0.95).alias("p95_error"))
+    return line.join(errors, key).where("period > 0").withColumns({"bpm": 60.0 / F.col("period"), "span": F.col("hi") - F.col("lo")})
 
 
 def anchored(fits: DataFrame, track: str, low: float = MIN_BPM, high: float = MAX_BPM) -> DataFrame:
-    """Each track's best window in the tempo range: the longest for its error; equals by the earliest start."""
+    """Each track's best window in the tempo range: the longest for its error; equals by the smaller size, then the earliest start."""
     score = F.col("span") / F.pow(F.col("p95_error") + 0.005, 1.5)
-    rank = Window.partitionBy(track).orderBy(F.desc("score"), "start")
+    rank = Window.partitionBy(track).orderBy(F.desc("score"), *(["size"] if "size" in fits.columns else []), "start")
     return fits.where(F.col("bpm").between(low, high)).withColumn("score", score).withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
 
 

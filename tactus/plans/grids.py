@@ -275,6 +275,17 @@ def anchor_windows(spark, sf):
     return lattice.anchored(fits, "track", 0.0).select("track", "start", F.round("bpm", 6).alias("bpm"))
 
 
+@query(f"""WITH {T}, c AS (SELECT track, i, t, n_all, unnest(CASE WHEN n_all < 32 THEN [] WHEN n_all < 64 THEN [n_all] WHEN n_all < 128 THEN [64] ELSE [64, 128] END) AS size FROM i),
+w AS (SELECT track, size, i, t, unnest(list_filter(range(0, i + 1, 8), lambda s: s > i - size AND s <= n_all - size)) AS start FROM c),
+f AS (SELECT track, size, start, regr_slope(t, i - start) AS period, regr_intercept(t, i - start) AS origin, max(t) - min(t) AS span FROM w GROUP BY 1, 2, 3),
+e AS (SELECT w.track, w.size, w.start, quantile_cont(abs(t - origin - period * (i - w.start)), 0.95) AS p95_error FROM w JOIN f ON f.track = w.track AND f.size = w.size AND f.start = w.start GROUP BY 1, 2, 3),
+a AS (SELECT f.track, f.size, f.start, CAST(60 AS DOUBLE) / period AS bpm, span / (p95_error + CAST(0.005 AS DOUBLE)) ** CAST(1.5 AS DOUBLE) AS score FROM f JOIN e ON e.track = f.track AND e.size = f.size AND e.start = f.start WHERE period > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY score DESC, size, start) AS r FROM a WHERE bpm BETWEEN 0 AND 150) SELECT track, size, start, round(bpm, 6) AS bpm FROM r WHERE r = 1""")
+def anchor_reference(spark, sf):
+    fits = lattice.fitted(lattice.anchor_windows(_timed(spark, sf), "track"), "track")
+    return lattice.anchored(fits, "track", 0.0).select("track", "size", "start", F.round("bpm", 6).alias("bpm"))
+
+
 @query(f"WITH {T}, s AS (SELECT track, (lead(t, 8) OVER (PARTITION BY track ORDER BY i) - t) / 8 AS step FROM i) SELECT track, round(quantile_cont(step, 0.5), 4) AS period, count(*) AS spans FROM s WHERE step > 0 GROUP BY 1")
 def consensus_period(spark, sf):
     return lattice.consensus_period(_timed(spark, sf), "track").select("track", F.round("period", 4).alias("period"), "spans")
