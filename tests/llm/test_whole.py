@@ -4,9 +4,10 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tactus.llm import nearcopies, simhash
+from tactus.llm import mixing, nearcopies, simhash
 
 
 def roots_of(texts):
@@ -66,3 +67,43 @@ def test_near_copies_in_long_lists(spark):
 def test_near_copies_of_nothing(spark, empty):
     docs = spark.read.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.near_copies(spark, docs, empty).count() == 0
+
+
+def slots_of(docs, **how):
+    out = {}
+    for r in mixing.scheduled(docs, **how).select("row.source", "block", "slot").distinct().collect():
+        out.setdefault(r["source"], []).append(r["slot"])
+    return {k: np.sort(v) for k, v in out.items()}
+
+
+def test_mixing_follows_the_weights(spark):
+    docs = spark.range(20_020).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "b").otherwise("a").alias("source"), F.lit("x").alias("text"))
+    slots = slots_of(docs, weights={"a": 0.9995, "b": 0.0005}, block_rows=1)
+    t = np.arange(20_001)
+    for source, weight in (("a", 0.9995), ("b", 0.0005)):
+        assert np.abs(np.searchsorted(slots[source], t) - t * weight).max() < 1.001
+
+
+def test_mixing_of_unequal_sources(spark):
+    rows = [(f"s{k}", n) for k, n in enumerate([9000, 700, 650, 333, 100, 41, 7, 1])]
+    docs = spark.createDataFrame(rows, "source string, n int").select(F.explode(F.sequence(F.lit(1), "n")).alias("doc_id"), "source", F.lit("x").alias("text"))
+    slots, total = slots_of(docs, block_rows=1), sum(n**0.5 for _, n in rows)
+    taken = np.concatenate(list(slots.values()))
+    assert len(np.unique(taken)) == len(taken) == sum(n for _, n in rows)
+    for source, n in rows:
+        off = np.arange(n) + 1 - (slots[source] + 1) * n**0.5 / total
+        assert np.abs(off).max() < 2
+
+
+def test_mixing_of_many_sources(spark):
+    docs = spark.range(18_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, "hot").otherwise(F.col("id").cast("string")).alias("source"), F.lit("x").alias("text"))
+    slots = slots_of(docs)
+    weight = 6000**0.5 / (6000**0.5 + 12_000)
+    assert len(slots) == 12_001 and len(slots["hot"]) == 375
+    assert np.abs(np.arange(375) + 1 - (slots["hot"] + 1) * weight).max() < 2
+
+
+def test_mixing_of_a_tiny_weight(spark):
+    docs = spark.range(5_400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "b").otherwise("a").alias("source"), F.lit("x").alias("text"))
+    slots = slots_of(docs, weights={"a": 0.99999, "b": 0.00001}, block_rows=1)
+    assert (slots["b"] < 5_000).sum() <= 2 and len(slots["b"]) == 400
