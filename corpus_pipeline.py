@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages, each an operator of tactus.llm applied to what the stage before it kept.
 
-Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and
+``mix`` also each one's position, by which the last sorts its rows.
 ``run`` writes each stage's rows to the shared folder and reads them again, so a lost executor costs one stage at most.
 """
 
@@ -33,13 +34,17 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files that follow the Pfair order of their sources' temperature weights."""
-    return mixing.mixed(docs)
+    """All documents with their slot and place in the Pfair order of their sources' temperature weights."""
+    return mixing.positioned(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count and the digests of its ids and of the bytes they decode to."""
-    return bpe.encoded(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+    """Each document's token count and the digests of its ids and of the bytes they decode to, in the order of ``mix``.
+
+    The rows are written before they are sorted, as a sort reads its input twice.
+    """
+    rows = bpe.encoded(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), carried=mixing.POSITION)
+    return written(rows, "encoded").orderBy(*mixing.POSITION).drop(*mixing.POSITION)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("pii", redact), ("mixing", mix), ("byte_bpe", encode)]
@@ -51,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; the rows are in the order of the mixing schedule."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in stages[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tactus.llm.chunks import Chunks
 from tactus.llm.common import no_null, table, vocabulary
@@ -177,9 +178,10 @@ def encoder(path: str) -> Bpe:
     return _ready[path]
 
 
-def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """For each (doc_id, text): doc_id, n_tokens, the digests of the ids and of the decoded bytes, and ids if asked for
-    (binary, little-endian unsigned 32 bits)."""
+def encoded(docs: DataFrame, path: str, keep_ids: bool = False, carried: Sequence[str] = ()) -> DataFrame:
+    """For each (doc_id, text): doc_id, n_tokens, the digests of the ids and of the decoded bytes, ids if asked for
+    (binary, little-endian unsigned 32 bits), and the ``carried`` columns (longs) as they are."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -188,10 +190,10 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             for ids in bpe.encode_all(x.as_py() for x in batch.column(1)):
                 rows.append((len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids.tolist())).hexdigest(), ids.tobytes() if keep_ids else b""))
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.string(), pa.string(), pa.binary())))]
-            yield pa.RecordBatch.from_arrays(columns[: 5 if keep_ids else 4], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if keep_ids else 4])
+            yield pa.RecordBatch.from_arrays([*columns[: 5 if keep_ids else 4], *batch.columns[2:]], names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), no_null("text").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids + "".join(f", {c} long" for c in carried)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), no_null("text").alias("text"), *[F.col(c).cast("long").alias(c) for c in carried]).mapInArrow(run, schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

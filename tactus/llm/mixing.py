@@ -130,10 +130,19 @@ def scheduled(docs: DataFrame, source: str = "source", key: str = "doc_id", weig
     )
 
 
+#: The columns of a row's place in the schedule that a later stage can sort by.
+POSITION = ["mixing_slot", "mixing_place"]
+
+
+def positioned(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with the columns of POSITION, in the order of the schedule."""
+    ordered = scheduled(docs, **how).select("row.*", *[F.col(c.removeprefix("mixing_")).alias(c) for c in POSITION])
+    return ordered.repartitionByRange(*POSITION).sortWithinPartitions(*POSITION)
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with their own columns only, in the order of the schedule: the files that are written follow it."""
-    ordered = scheduled(docs, **how).select("slot", "place", "row")
-    return ordered.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    return positioned(docs, **how).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tactus.llm import mixing, nearcopies, simhash
+from tactus.llm import mixing, nearcopies, quality, simhash
 
 
 def roots_of(texts):
@@ -107,3 +107,12 @@ def test_mixing_of_a_tiny_weight(spark):
     docs = spark.range(5_400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "b").otherwise("a").alias("source"), F.lit("x").alias("text"))
     slots = slots_of(docs, weights={"a": 0.99999, "b": 0.00001}, block_rows=1)
     assert (slots["b"] < 5_000).sum() <= 2 and len(slots["b"]) == 400
+
+
+def test_pipeline_keeps_the_schedule(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.redact(spark, simhash.one_of_each(quality.kept_only(docs)), sf_dir)
+    want = [r["doc_id"] for r in mixing.scheduled(kept).select("slot", "place", "row.doc_id").orderBy("slot", "place").collect()]
+    assert [r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()] == want != sorted(want)
+    scattered = corpus_pipeline.mix(spark, kept, sf_dir).repartition(7)
+    assert [r["doc_id"] for r in corpus_pipeline.encode(spark, scattered, sf_dir).collect()] == want
