@@ -4,8 +4,10 @@ One Aho-Corasick pass over a text finds anchors: at-signs and their spelled form
 identifier cues. At each anchor a deterministic local parser expands to the left and right and validates what it finds.
 Every parser moves forward only, so a text takes time in proportion to its length, whatever it holds.
 
-Base kinds: email, ip, card, phone. Added by cues: ``account`` (IBAN by its check digits; numbers, tokens and keys
-after a cue) and ``url`` (a web address that carries credentials); spelled at-signs and ``mailto:`` / ``tel:`` add to
+Anchors are looked up in a lower-case copy of the same length, so cues and spelled forms count in any case.
+
+Base kinds: email, ip, card, phone. Added: ``account`` (IBAN by its check digits, behind a cue or by its own form; numbers,
+tokens and keys after a cue: with four digits, or after a colon or equals sign with one, or none for a secret) and ``url`` (a web address that carries credentials); spelled at-signs and ``mailto:`` / ``tel:`` add to
 email and phone. An added span that overlaps a base span is dropped, so base spans never change.
 
 Edge cases: a null text is empty and has no spans; each row is judged by itself, so repeated rows give equal results;
@@ -43,9 +45,14 @@ CUES = ("account no", "account number", "account:", "acct", "iban", "kontonummer
 _SPELLED = ("[at]", "(at)", "{at}", " at ")
 _DOT = re.compile(r"(?: ?[\[({]dot[\])}] ?| dot |\.)", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]++")
-_LEAD = re.compile(r"(?:[ \t]*(?:no\.?|number|is|nr\.?))?[ \t]*[:=#]?[ \t]*[\"']?")
+_LEAD = re.compile(r"(?:[ \t]*(?:no\.?|number|is|nr\.?))?[ \t]*[:=#]?[ \t]*[\"']?", re.I)
+#: Cues whose value may be of letters alone.
+SECRETS = ("api key", "api_key", "apikey", "password", "token", "secret")
+_SECRET = re.compile(r"[^\s\"'<>]{6,}+")
 _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+-]{5,}+")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}", re.I | re.A)
+#: Without a cue: in groups of four or in one piece.
+_BARE = re.compile(r"[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Z0-9])", re.I | re.A)
 _TEL = re.compile(r"[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/@:]++:[^\s/@]*+@[^\s\"'<>]++")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
@@ -64,6 +71,21 @@ def iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, found: re.Match[str] | None) -> int:
+    """Where an IBAN ends that begins with the match: the longest whole words of it with right check digits; else 0."""
+    if found:
+        for end in range(found.end(), found.start() + 14, -1):
+            if not text[end : end + 1].isalnum() and text[end - 1] != " " and iban(text[found.start() : end]):
+                return end
+    return 0
+
+
+def folded(text: str) -> str:
+    """The text in lower case, character by character where that would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join([x if len(x := c.lower()) == 1 else c for c in text])
+
+
 def _digits(text: str) -> str:
     return "".join(_RUN.findall(text))
 
@@ -76,8 +98,7 @@ class Finder:
 
         self.anchors = ahocorasick.Automaton()
         words = {str(d): "digit" for d in range(10)} | {"@": "at", "+": "plus", "://": "scheme", "mailto:": "mailto", "tel:": "tel"} | dict.fromkeys(_SPELLED, "spelled")
-        for cue in CUES:
-            words |= dict.fromkeys((cue, cue.capitalize(), cue.upper()), "cue")
+        words |= dict.fromkeys(CUES, "cue")
         for word, kind in words.items():
             self.anchors.add_word(word, (kind, len(word)))
         self.anchors.make_automaton()
@@ -87,8 +108,10 @@ class Finder:
         base: list[Span] = []
         more: list[Span] = []
         email_end = dotted_end = grouped_end = 0
-        for last, (kind, length) in self.anchors.iter(text):
+        for last, (kind, length) in self.anchors.iter(folded(text)):
             if kind == "digit":
+                if last > 1 and text[last - 1].isalpha():
+                    self._bare(text, last - 2, more)
                 if last >= dotted_end:
                     dotted_end = _DOTTED.match(text, last).end()
                     if dotted_end - last >= 7:
@@ -170,15 +193,32 @@ class Finder:
             if first < start:
                 out.append((first, "url", found.end()))
 
+    @staticmethod
+    def _bare(text: str, start: int, out: list[Span]) -> None:
+        """An IBAN without a cue: not inside a word, and with six digits beside its check digits."""
+        if text[start - 1 : start].isalnum() and start:
+            return
+        end = iban_end(text, _BARE.match(text, start))
+        if end and len(_digits(text[start:end])) >= 8:
+            out.append((start, "account", end))
+
     @staticmethod
     def _cue(text: str, start: int, end: int, out: list[Span]) -> None:
         if text[start - 1 : start].isalnum():
             return
         at = _LEAD.match(text, end).end()
-        code, value = _IBAN.match(text, at), _VALUE.match(text, at)
-        if code and iban(code[0]):
-            out.append((at, "account", code.end()))
-        elif value and sum(c.isdigit() for c in value[0]) >= 4:
+        code = iban_end(text, _IBAN.match(text, at))
+        if code:
+            out.append((at, "account", code))
+            return
+        value = _VALUE.match(text, at)
+        least = 1 if any(c in ":=" for c in text[end - 1 : at]) else 4
+        if least == 1 and folded(text[start:end]) in SECRETS:
+            secret = _SECRET.match(text, at)
+            stop = at + len(secret[0].rstrip(".,;:)]}")) if secret else at
+            if stop - at >= 6:
+                out.append((at, "account", stop))
+        elif value and sum(c.isdigit() for c in value[0]) >= least:
             out.append((at, "account", value.end()))
 
     @staticmethod

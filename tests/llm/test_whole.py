@@ -4,10 +4,11 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tactus.llm import mixing, nearcopies, quality, simhash
+from tactus.llm import mixing, nearcopies, pii, quality, simhash
 
 
 def roots_of(texts):
@@ -116,3 +117,24 @@ def test_pipeline_keeps_the_schedule(spark, sf_dir):
     assert [r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()] == want != sorted(want)
     scattered = corpus_pipeline.mix(spark, kept, sf_dir).repartition(7)
     assert [r["doc_id"] for r in corpus_pipeline.encode(spark, scattered, sf_dir).collect()] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Account Number: 12345678.", "Account Number: <ACCOUNT>"),
+        ("API Key: abcd1234efgh", "API Key: <ACCOUNT>"),
+        ("Social Security 123-45-6789", "Social Security <ACCOUNT>"),
+        ("John [AT] example [DOT] com", "<EMAIL>"),
+        ("İİ Api_Key = 12345678", "İİ Api_Key = <ACCOUNT>"),
+        ("pay DE89 3704 0044 0532 0130 00 OK", "pay <ACCOUNT> OK"),
+        ("pay GB82WEST12345698765432, now", "pay <ACCOUNT>, now"),
+        ("pay DE88 3704 0044 0532 0130 00", "pay DE88 3704 0044 0532 0130 00"),
+        ("IBAN de89370400440532013000 ok", "IBAN <ACCOUNT> ok"),
+        ('Password: "hunter-two"', 'Password: "<ACCOUNT>"'),
+        ("Passport: X1ABCDE", "Passport: <ACCOUNT>"),
+        ("the password protects a token economy", "the password protects a token economy"),
+    ],
+)
+def test_pii_in_any_case(text, want):
+    assert pii.masked(text).rstrip(".") == want.rstrip(".")
