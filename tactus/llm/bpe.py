@@ -8,7 +8,9 @@ the whole. The join is associative, so halves can be cut anywhere; a run of n by
 Decoding concatenates token bytes up the same kind of tree.
 
 Edge cases: a null text is empty; an empty text has no tokens and the digests of no bytes; each row is encoded by
-itself, so repeated rows give equal results; an empty table gives an empty result.
+itself, so repeated rows give equal results; equal ranks cannot occur, and of two places with the lowest rank the left one
+merges first; very long texts are held one group at a time, very long pieces cost O(n log n); other columns of the table,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from tactus.llm.chunks import Chunks
 from tactus.llm.common import no_null, table, vocabulary
 
 #: Remembered joins, segments and pieces, and chunks: a bound on a worker's memory. Longer ones are not remembered.
-MEMORY = 100_000
-CHUNKS = 150_000
+MEMORY = 400_000
+CHUNKS = 300_000
 SEGMENT_BYTES = 6
 PIECE_BYTES = 24
 NEVER = 1 << 60
@@ -43,52 +45,55 @@ class Bpe:
 
         self.ranks, self.pieces = ranks, regex.compile(pattern).findall
         self.bytes = {i: b for b, i in ranks.items()}
+        self.single = [ranks[bytes([c])] for c in range(256)]
+        #: The rank of two neighbouring tokens' bytes, for every cut of every token into two.
+        self.pairs = {ranks[t[:k]] << 20 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.joins: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.segments: dict[bytes, tuple[int, ...]] = {}
         self.done: dict[str, bytes] = {}
-        self.chunks = Chunks(lambda chunks: [self._chunk(c) if c else b"" for c in chunks], CHUNKS)
+        self.chunks = Chunks(lambda chunks: [self._chunk(c) if c else b"" for c in chunks], 4, CHUNKS)
 
     def _merged(self, data: bytes) -> tuple[int, ...]:
         """Some bytes, merged from single ones by lowest rank, leftmost first."""
-        parts: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
+        parts = [self.single[c] for c in data]
         if len(parts) > 48:
             return self._merged_by_heap(parts)
-        ranks = [self.ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        pair = self.pairs.get
+        ranks = [pair(a << 20 | b, NEVER) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != NEVER:
             at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at : at + 2] = [best]
             del ranks[at]
             if at:
-                ranks[at - 1] = self.ranks.get(parts[at - 1] + parts[at], NEVER)
+                ranks[at - 1] = pair(parts[at - 1] << 20 | best, NEVER)
             if at < len(ranks):
-                ranks[at] = self.ranks.get(parts[at] + parts[at + 1], NEVER)
-        return tuple([self.ranks[p] for p in parts])
+                ranks[at] = pair(best << 20 | parts[at + 1], NEVER)
+        return tuple(parts)
 
-    def _merged_by_heap(self, parts: list[bytes | None]) -> tuple[int, ...]:
-        """The same in O(n log n): candidate pairs by (rank, place); one whose bytes have changed is stale."""
+    def _merged_by_heap(self, parts: list[int]) -> tuple[int, ...]:
+        """The same in O(n log n): candidate pairs by (rank, place); one whose tokens have changed is stale."""
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (rank := self.ranks.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (rank, i, parts[i], parts[j]))
+            if j < n and (rank := self.pairs.get(parts[i] << 20 | parts[j])) is not None:
+                heapq.heappush(heap, (rank, i, j, parts[i], parts[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is not a or j >= n or parts[j] is not b:
+            rank, i, j, a, b = heapq.heappop(heap)
+            if parts[i] != a or after[i] != j or parts[j] != b:
                 continue
-            parts[i], parts[j], after[i] = a + b, None, after[j]
+            parts[i], parts[j], after[i] = rank, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return tuple([self.ranks[p] for p in parts if p is not None])
+        return tuple([p for p in parts if p >= 0])
 
     def _window(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
         """A few tokens' bytes, encoded anew."""
@@ -148,10 +153,9 @@ class Bpe:
                 self.done[piece] = got
         return got
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for x in self.chunks.texts(texts):
-            yield np.frombuffer(x, "<u4")
+        return self.chunks.texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes of ids: halves decoded, then concatenated."""
@@ -187,7 +191,7 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False, carried: Sequenc
         bpe = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            for ids in bpe.encode_all(x.as_py() for x in batch.column(1)):
+            for ids in bpe.encode_all(batch.column(1)):
                 rows.append((len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids.tolist())).hexdigest(), ids.tobytes() if keep_ids else b""))
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.string(), pa.string(), pa.binary())))]
             yield pa.RecordBatch.from_arrays([*columns[: 5 if keep_ids else 4], *batch.columns[2:]], names=names)

@@ -1,4 +1,4 @@
-"""Cutting texts where no token can cross, so that a tokenizer sees each distinct short chunk once.
+"""Cutting texts where no token can cross, so that a tokenizer sees each distinct chunk of a group of texts once.
 
 The pre-tokenizers used here cut a text by the pattern of byte-level BPE, in which a piece is an optional space with
 letters, digits or other signs, or a run of white space that leaves its last space to a following word. A piece thus
@@ -8,63 +8,120 @@ never crosses the point before a space that has a non-space sign on its left or
 * on the left: pieces of signs never take a space at their end.
 
 The tokens of a text are therefore the tokens of its chunks in order. Only spaces inside longer white space are not cut.
+Cutting, finding the distinct chunks and laying out their ids work on whole Arrow columns; Python sees distinct chunks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-#: A space with white space on both sides: no cut there. Python's \s holds all white space of the tokenizers and more.
-_INSIDE = re.compile(r" (?<=\s )\s")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: A space with white space on both sides is no cut. Python's \s holds all white space of the tokenizers and more.
 _CUT = re.compile(r"(?<!\s) | (?!\s)")
+#: Bytes that may end a white-space sign on the left of a space, and that may begin one on its right.
+_BEFORE = np.array([9 <= b <= 13 or 28 <= b <= 32 or b >= 0x80 for b in range(256)])
+_AFTER = np.array([9 <= b <= 13 or 28 <= b <= 32 or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
-#: Entries of one generation, the longest chunk that is kept, and characters handled at a time: a worker's memory bound.
+#: Entries of one generation, the longest chunk that is kept, and bytes handled at a time: a worker's memory bound.
 CACHE_ENTRIES = 450_000
 CACHE_CHARS = 48
-GROUP_CHARS = 1 << 20
+GROUP_BYTES = 1 << 24
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and each text's bounds in them."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]
+
+
+def groups(texts: pa.Array) -> Iterator[pa.Array]:
+    """The column in slices of about GROUP_BYTES, one text at least."""
+    if not len(texts):
+        return
+    _, ends = _bytes(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + GROUP_BYTES)) - 1)
+        yield texts.slice(first, last - first)
+        first = last
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Each text's chunks, and which text is where: those that may hold a space inside white space go last."""
+    data, ends = _bytes(texts)
+    at = np.flatnonzero((data[1:-1] == 32) & _BEFORE[data[:-2]] & _AFTER[data[2:]]) + 1
+    slow = np.zeros(len(texts), bool)
+    slow[np.searchsorted(ends, at, "right") - 1] = True
+    if not slow.any():
+        return pc.split_pattern(texts, " "), np.arange(len(texts))
+    plain = pc.split_pattern(texts.filter(pa.array(~slow)), " ")
+    rest = pa.array([_CUT.split(x) for x in texts.filter(pa.array(slow)).to_pylist()], plain.type)
+    return pa.concat_arrays([plain, rest]), np.concatenate([np.flatnonzero(~slow), np.flatnonzero(slow)])
 
 
 class Chunks:
     """Encodes texts chunk by chunk. ``known[w]`` is the encoding of a space and w; recent short chunks are remembered
     in two generations, and those new in a group of texts go to ``encode_many`` together."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
-        self.encode_many, self.entries = encode_many, entries
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], width: int, entries: int = CACHE_ENTRIES):
+        self.encode_many, self.width, self.entries = encode_many, width, entries
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, texts: list[list[str]]) -> list[str]:
-        """Makes every chunk of the texts known, and returns those to forget after the group."""
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The encodings of distinct words, each behind a space."""
         if len(self.known) >= self.entries:
             self.older, self.known = self.known, {}
+        out = [self.known.get(w) for w in words]
         unknown = []
-        for w in set().union(*texts).difference(self.known):
-            if (old := self.older.get(w)) is None:
-                unknown.append(w)
-            else:
-                self.known[w] = old
-        self.known.update(zip(unknown, self.encode_many([" " + w for w in unknown])))
-        return [w for w in unknown if len(w) > CACHE_CHARS]
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [_CUT.split(x) if _INSIDE.search(x) else x.split(" ") for x in texts]
-        heads = self.encode_many([c[0] for c in cut])
-        rest = [c[1:] for c in cut]
-        long = self._learn(rest)
-        for head, words in zip(heads, rest):
-            yield head + b"".join(map(self.known.__getitem__, words))
-        for w in long:
-            del self.known[w]
-
-    def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The encoding of each text."""
-        held, size = [], 0
-        for x in texts:
-            held.append(x)
-            size += len(x)
-            if size >= GROUP_CHARS:
-                yield from self._group(held)
-                held, size = [], 0
-        if held:
-            yield from self._group(held)
+        for i, (w, ids) in enumerate(zip(words, out)):
+            if ids is None:
+                out[i] = old = self.older.get(w)
+                if old is None:
+                    unknown.append(i)
+                else:
+                    self.known[w] = old
+        for i, ids in zip(unknown, self.encode_many([" " + words[i] for i in unknown])):
+            out[i] = ids
+            if len(words[i]) <= CACHE_CHARS:
+                self.known[words[i]] = ids
+        return out
+
+    def group(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of all texts in order, each followed by ``end``, and the bounds of each text's."""
+        lists, order = _cut(texts)
+        first = lists.offsets.to_numpy()
+        heads, words = first[:-1], lists.values
+        is_head = np.zeros(len(words), bool)
+        is_head[heads] = True
+        found = pc.if_else(pa.array(is_head), pa.scalar(None, words.type), words).dictionary_encode()
+        codes = found.indices.fill_null(0).to_numpy().astype(np.int64)
+        codes[heads] = len(found.dictionary) + np.arange(len(heads))
+        entries = [*self._encoded(found.dictionary.to_pylist()), *self.encode_many(words.take(pa.array(heads)).to_pylist()), end]
+        # the columns in the order of the texts, each with the end behind it
+        back = np.argsort(order, kind="stable")
+        sizes = np.diff(first)[back] + 1
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(bounds[-1]) + np.repeat(heads[back] - bounds[:-1], sizes)
+        at[bounds[1:] - 1] = 0
+        codes = codes[at] if len(codes) else at
+        codes[bounds[1:] - 1] = len(entries) - 1
+        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
+        starts = np.cumsum(lengths) - lengths
+        own = lengths[codes]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(b"".join(entries), f"<u{self.width}")[np.repeat(starts[codes] - (ends - own), own) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends[bounds[1:] - 1]])
+
+    def texts(self, texts: pa.Array, end: bytes = b"") -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for part in groups(texts):
+            ids, bounds = self.group(part, end)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield ids[a:b]

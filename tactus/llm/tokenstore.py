@@ -1,7 +1,7 @@
 """Token ids in files: frequency-ranked, byte-aligned variable-length code with separate control bytes.
 
-All documents are tokenized once and the ids kept as 16 or 32 bit arrays in the shared folder. The ids of all of them
-are counted; an id's rank by falling count is what the files hold, so frequent ids take one byte. A value takes 1 to 4
+All documents are tokenized once and the ids kept as 16 or 32 bit arrays in the shared folder; each task counts its ids
+as it goes, one row for a task. An id's rank by falling count is what the files hold, so frequent ids take one byte. A value takes 1 to 4
 bytes; its length less one stands in two bits of a control byte for four values, apart from the data bytes. The reader
 looks control bytes up in a table of lengths and places the data bytes by one masked assignment.
 
@@ -9,7 +9,8 @@ A file holds the blocks of a contiguous range of ascending doc_ids, written thro
 that runs twice leaves one file, and any store that Spark knows will do. A block (a row of the file) has: start (ids of
 the file before it), doc_ids and lengths of its documents, n, control and data. The rank table lies beside the blocks.
 
-Edge cases: a null text is empty and has the end id only; null doc_ids come first; repeated doc_ids stand by a hash of
+Edge cases: a null text is empty and has the end id only; the string of an added token (such as an end mark) in a text is
+that token, as the library has it; very long texts make a block of their own; other columns, whatever their names, are not read; null doc_ids come first; repeated doc_ids stand by a hash of
 their ids; repeated rows are kept; an empty table gives an empty result.
 """
 
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tactus.llm.chunks import Chunks
+from tactus.llm.chunks import Chunks, groups
 from tactus.llm.common import no_null, scratch, table, vocabulary, written
 
 END_ID = 2
@@ -67,13 +69,13 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)  # byte-level tokens have a character for each byte
-        self.chunks = Chunks(self.encode_many)
+        self.chunks = Chunks(self.encode_many, self.width)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,6 +98,21 @@ class Tokens:
                 start = cut
         return out
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of all texts, with the end id behind each. A text that holds the string of an added token goes
+        to the library whole, as the library looks for those before it cuts."""
+        end = END_ID.to_bytes(self.width, "little")
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self.chunks.group(texts, end)
+        plain, bounds = self.chunks.group(pc.if_else(pa.array(special), "", texts), end)
+        parts = [plain[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(special).tolist():
+            parts[i] = np.concatenate([self._encode([texts[i].as_py()])[0], parts[i]])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
 
 _ready: dict[str, Tokens] = {}
 
@@ -108,17 +125,25 @@ def _tokens(path: str) -> Tokens:
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, width, ids): each text's ids with the end id, as little-endian integers of ``width`` bytes."""
+    """(doc_id, width, ids, counts): each text's ids with the end id, as little-endian integers of ``width`` bytes; and one
+    row for each task with how often it has each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
-        chunks, width = tokens.chunks, tokens.width
-        end = END_ID.to_bytes(width, "little")
+        total = np.zeros(len(tokens.size), np.int64)
         for batch in batches:
-            ids = pa.array([x + end for x in chunks.texts(x.as_py() for x in batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([width] * len(ids), pa.int32()), ids], names=["doc_id", "width", "ids"])
+            done = 0
+            for texts in groups(batch.column(1)):
+                ids, bounds = tokens.ids(texts)
+                total += np.bincount(ids, minlength=len(total))
+                n = len(texts)
+                binary = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * tokens.width), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), pa.array([tokens.width] * n, pa.int32()), binary, pa.nulls(n, pa.binary())], names=names)
+                done += n
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), no_null("text").alias("text")).mapInArrow(run, "doc_id long, width int, ids binary")
+    names = ["doc_id", "width", "ids", "counts"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), no_null("text").alias("text")).mapInArrow(run, "doc_id long, width int, ids binary, counts binary")
 
 
 def _read(width: int, ids: bytes) -> np.ndarray:
@@ -126,20 +151,16 @@ def _read(width: int, ids: bytes) -> np.ndarray:
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all documents; each task sends one row for each id it has."""
+    """(id, n) over all documents, from the row of counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0), batch.column(1)):
-                n = np.bincount(_read(width.as_py(), ids.as_buffer()))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+            for counts in batch.column(0):
+                total = np.frombuffer(counts.as_buffer(), np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return tokens.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> str:
@@ -176,7 +197,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> str:
         if held:
             yield close()
 
-    ordered = tokens.withColumn("_h", F.xxhash64("ids")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "ids")
+    ordered = tokens.where("counts is null").withColumn("_h", F.xxhash64("ids")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "ids")
     ordered.select("doc_id", "width", "ids").mapInArrow(run, BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     return path

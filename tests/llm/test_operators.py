@@ -79,7 +79,6 @@ def test_quality_keeps_columns(spark, odd):
 
 def test_tokens(spark, sf):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want, start = [], 0
     for d, text in sorted(rows_of(spark, sf), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
