@@ -1,28 +1,35 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
-
-The kernel compares two strings by their subsequences of three characters within SPAN characters, each weighted by
-DECAY for every character skipped, so "i.d.i.o.t" or "idiiot" still shares most of "idiot". A text's sentences are
-bags of words (runs of single letters are also read together); a sentence is as toxic as its worst word and a text as
-its worst sentence, which makes the margin independent of length.
-
-Training sees only labelled texts outside the held-out fold, at most MAX_LABELLED of them by a hash of their id, whole.
-Document counts of words and of their first letters, made in Spark, give landmarks (strings frequent in toxic texts and
-rare in clean ones) and example words of both classes, all bounded; examples also occur with inserted characters. With
-the landmarks' kernel matrix M, a word's features are M^-1/2 k(word, landmarks), and a squared-hinge machine is solved on
-them by Newton steps. The solution is a weight for each landmark;
-an index from subsequences to landmarks gives a word's kernel values, once for each distinct recent word; values below
-LEAST_SHARED count as none, and a bound that is summed from a table for many words at once tells which words have none. A
-cut and a slope from the training texts' margins turn a text's margin into a score from 0 to 1.
-
-Edge cases: a null or empty text has no word and gets the lowest score; labels other than 0 and 1 are ignored, and
-repeated ids take the larger label; without toxic landmarks in the training rows all scores are 0.1; repeated rows score
-equally; an empty table gives an empty result.
+"""Toxicity by a subsequence string kernel over sentences, Nyström landmarks and a support vector machine.
+
+A sentence is the set of its parts: the letters and digits of each word, runs of single signs read together ("i d i o t")
+and neighbours of two or three signs read together ("id iot"). Two parts are compared by their subsequences of three
+characters within SPAN characters, each weighted by DECAY for every character skipped, so "i.d.i.o.t", "idiiot" or
+"mxoxrxoxn" still share much of "idiot" or "moron"; the kernel of two parts is a power of the normed sum, and the kernel
+of two sentences the sum over the pairs of their parts. The same kernel serves in fitting and in scoring, without a cut.
+
+Landmarks are one-part sentences: among the parts that tell labelled texts apart, those that a pivoted Cholesky
+decomposition finds least alike. With their kernel matrix M a sentence's features are M^-1/2 k(sentence, landmarks), and a
+squared-hinge machine is solved on them by Newton steps. Labels are of texts, sentences have none: the machine learns
+from each toxic text's worst sentence under the machine before (at first under the parts' log odds), from each clean text's
+worst sentence of every round, and from one of its sentences by hash. A text is as toxic as its worst sentence, in which
+the parts add up, so two words may be an insult that neither is. A cut and a slope from the training texts' margins turn
+a margin into a score from 0 to 1.
+
+Training sees only labelled texts outside the held-out fold, at most MAX_LABELLED of them by a hash, whole. The driver
+gets LANDMARKS numbers for a text and CANDIDATES parts, never texts.
+
+Edge cases: a null or empty text, and one without letters, has no sentence and gets less than the bias; labels other than
+0 and 1 are ignored; repeated ids take the larger label and each of their texts is an example, but texts with the same
+sign (the least hash of three words: copies) are one; if no part tells toxic texts apart all scores are 0.1; repeated rows
+score equally; sentences of more than SENTENCE words and parts of more than PART characters are read in pieces that
+overlap by half, so texts of any length are read whole; other columns, whatever their names, are not read; of equally bad
+sentences the first counts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,75 +37,167 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm.common import no_null, table, written
+from tactus.llm.common import let, no_null, table, written
 
 FOLDS = 5
-#: The most labelled texts that training reads, and the most examples of a class.
+#: The most labelled texts that training reads.
 MAX_LABELLED = 20_000
-MAX_EXAMPLES = 5_000
-LANDMARKS = 160
-#: Fits; after each, the worst words of the clean training texts become examples for the next.
+#: Parts that may become landmarks, of each class, and landmarks of toxic and of clean texts.
+CANDIDATES = 1_000
+LANDMARKS = (96, 32)
 ROUNDS = 3
 
 SPAN = 6
 DECAY = 0.7
 DAMPING = 3.0
-#: The kernel is this power of the normed sum over subsequences: strings that share little count for nothing.
+#: The kernel is this power of the normed sum over subsequences: parts that share little count for little.
 POWER = 3
-#: Longer words are read in windows of this many characters, half overlapping.
-WINDOW = 24
-PREFIXES = (4, 5)
+SENTENCE = 40
+PART = 24
+#: Margins of words that are remembered, the longest such word, and characters of text handled at a time.
 CACHE = 400_000
+CACHE_CHARS = 48
 GROUP_CHARS = 1 << 20
-#: Characters that the bound tells apart, and the kernel value below which strings share nothing that counts.
-SIGNS = 64
-LEAST_SHARED = 0.3
-
-_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
-_EDGE = " \t.,;:!?\"'()[]{}<>|*#$%&"
-
-
-def subsequences(word: str) -> dict[str, float]:
-    """The weighted subsequences of three characters of ``^word``."""
-    s = "^" + word
-    out: dict[str, float] = {}
-    n = len(s)
-    for i in range(n - 2):
-        last = min(n, i + SPAN)
-        for j in range(i + 1, last - 1):
-            two = s[i] + s[j]
-            for k in range(j + 1, last):
-                u = two + s[k]
-                out[u] = out.get(u, 0.0) + _WEIGHT[k - i]
+#: Parts whose kernel values are computed together.
+TOGETHER = 2048
+
+_SIGN = re.compile(r"[\W_]+")
+_LONG_RUN = re.compile(r"(.)\1{2,}")
+_BETWEEN = re.compile(r".(.)(?:.\1)+.?")
+_END = re.compile(r"(?<=[.!?])\s+|\n+")
+_SIGNS = 32
+#: Middle and last character of a subsequence, counted from its first, and the weight.
+_SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
+
+
+def _alphabet() -> np.ndarray:
+    """Letters by their base letter, one code for other letters and one for digits; 0 is no character."""
+    out = np.zeros(1 << 16, np.int32)
+    for point in range(1, 1 << 16):
+        sign = chr(point)
+        if sign.isalnum():
+            base = unicodedata.normalize("NFKD", sign)[0].lower()
+            out[point] = ord(base) - 96 if "a" <= base <= "z" else 28 if base.isdigit() else 27
+    out[ord("^")] = 29
     return out
 
 
-_WEIGHT = [DECAY ** max(0, gap - 2) for gap in range(SPAN + 1)]
-
-
-def _norm(word: str) -> float:
-    """The norm of a string of this length: the root of all its subsequences' squared weights, and a constant that
-    keeps very short strings from matching fully."""
-    n = len(word) + 1
-    return math.sqrt(DAMPING + sum((n - gap) * (gap - 1) * _WEIGHT[gap] ** 2 for gap in range(2, min(n, SPAN))))
-
-
-def _unit(word: str) -> dict[str, float]:
-    norm = _norm(word)
-    return {u: v / norm for u, v in subsequences(word).items()}
+_CODES = _alphabet()
+
+
+def _subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, subsequence, weight) of all parts, sorted, each with a start mark, and each part's norm."""
+    lengths = np.array([len(p) + 1 for p in parts])
+    points = np.frombuffer("".join(["^" + p for p in parts]).encode("utf-32-le"), "<u4")
+    x = np.where(points < 1 << 16, _CODES[np.minimum(points, (1 << 16) - 1)], 27).astype(np.int64)
+    of = np.repeat(np.arange(len(parts)), lengths)
+    keys, weights = [], []
+    for j, k, weight in _SHAPES:
+        i = np.flatnonzero(of[k:] == of[:-k]) if len(of) > k else np.zeros(0, np.int64)
+        keys.append(((of[i] * _SIGNS + x[i]) * _SIGNS + x[i + j]) * _SIGNS + x[i + k])
+        weights.append(np.full(len(i), weight))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    weight = np.bincount(at, np.concatenate(weights), len(key))
+    part = key // _SIGNS**3
+    norm = np.sqrt(DAMPING + np.bincount(part, weight**2, len(parts)))
+    return part, key % _SIGNS**3, weight, norm
+
+
+def _pieces(items: list | str, most: int) -> list:
+    """The whole, or pieces of ``most`` that overlap by half."""
+    if len(items) <= most:
+        return [items]
+    return [items[i : i + most] for i in range(0, len(items) - most // 2, most // 2)]
+
+
+def parts_of(word: str) -> list[str]:
+    """What the kernel compares of a word: its letters and digits, in pieces if it is long; also with long runs of a sign
+    as one, and without a sign that stands between all others."""
+    plain = word if word.isalnum() else _SIGN.sub("", word)
+    if len(plain) < 2:
+        return []
+    parts = [plain] if len(plain) <= PART else list(dict.fromkeys(_pieces(plain, PART)))
+    if _LONG_RUN.search(plain):
+        parts += _pieces(_LONG_RUN.sub(r"\1", plain), PART)
+    if _BETWEEN.fullmatch(plain):
+        parts += _pieces(plain[::2], PART)
+    return parts
+
+
+def _joined(words: list[str], sizes: list[int]) -> list[str]:
+    """Runs of three or more single signs, and pairs of short neighbours, each as one word."""
+    out = [a + b for a, b, m, n in zip(words, words[1:], sizes, sizes[1:]) if m < 4 > n and m + n > 3]
+    if sizes.count(1) > 2:
+        run: list[str] = []
+        for w in [*words, ""]:
+            if len(w) == 1:
+                run.append(w)
+            else:
+                if len(run) > 2:
+                    out.append("".join(run))
+                run = []
+    return out
 
 
-def _kernel(left: list[dict[str, float]], right: list[dict[str, float]]) -> np.ndarray:
-    columns: dict[str, list[tuple[int, float]]] = {}
-    for j, parts in enumerate(right):
-        for u, v in parts.items():
-            columns.setdefault(u, []).append((j, v))
-    out = np.zeros((len(left), len(right)))
-    for i, parts in enumerate(left):
-        for u, v in parts.items():
-            for j, w in columns.get(u, ()):
-                out[i, j] += v * w
-    return out**POWER
+def add_sentences(text: str, flat: list[str], ends: list[int]) -> None:
+    """Appends the distinct words of each sentence, joined ones included, and where each sentence ends."""
+    for line in _END.split(text.lower()):
+        if words := line.split():
+            for piece in _pieces(words, SENTENCE):
+                sizes = list(map(len, piece))
+                flat += dict.fromkeys(piece + _joined(piece, sizes) if min(sizes) < 4 else piece)
+                ends.append(len(flat))
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence."""
+    flat: list[str] = []
+    ends: list[int] = []
+    add_sentences(text, flat, ends)
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class Landmarks:
+    """The kernel between parts and some landmarks."""
+
+    def __init__(self, marks: list[str]):
+        self.marks = marks
+        of, sub, weight, norm = _subsequences(marks)
+        order = np.argsort(sub, kind="stable")
+        #: For each subsequence which landmarks have it, from first to first + many, and how much of it.
+        self.of, self.value = of[order], weight[order] / norm[of[order]]
+        self.many = np.bincount(sub, minlength=_SIGNS**3)
+        self.first = np.cumsum(self.many) - self.many
+
+    def kernel(self, parts: list[str]) -> np.ndarray:
+        """(parts x landmarks)."""
+        size = len(self.marks)
+        out = np.zeros((len(parts), size))
+        for begin in range(0, len(parts), TOGETHER):
+            of, sub, weight, norm = _subsequences(parts[begin : begin + TOGETHER])
+            hit = np.flatnonzero(self.many[sub])
+            many = self.many[sub[hit]]
+            at = np.repeat(self.first[sub[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            cell = np.repeat(of[hit], many) * size + self.of[at]
+            shared = np.bincount(cell, np.repeat(weight[hit], many) * self.value[at], len(norm) * size).reshape(-1, size) / norm[:, None]
+            out[begin : begin + TOGETHER] = shared**POWER if POWER != 3 else shared * shared * shared
+        return out
+
+    def words(self, words: list[str], value) -> np.ndarray:
+        """For each word the sum over its parts of ``value``, which maps parts to an array."""
+        parts = [parts_of(w) for w in words]
+        number = {p: i for i, p in enumerate(dict.fromkeys([p for own in parts for p in own]))}
+        values = value(list(number))
+        if not number:
+            return np.zeros((len(words), *values.shape[1:]))
+        rows = values[[number[p] for own in parts for p in own]]
+        sizes = np.array([len(own) for own in parts])
+        out = np.zeros((len(words), *values.shape[1:]))
+        out[sizes > 0] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[sizes > 0], axis=0)
+        return out
+
+    def sentence(self, words: list[str]) -> np.ndarray:
+        return self.words(words, self.kernel).sum(axis=0)
 
 
 def _machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -126,96 +225,45 @@ def _machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: flo
     return w
 
 
-def _variants(word: str) -> list[tuple[str, float]]:
-    """The word, and with characters inserted, by weight."""
+def _variants(word: str) -> list[str]:
+    """The word with characters inserted: one, one doubled, and one between all."""
     half = len(word) // 2
-    return [(word, 1.0), (word[:half] + "x" + word[half:], 0.2), (word[:half] + word[half - 1 : half] + word[half:], 0.4)]
+    return [word[:half] + "x" + word[half:], word[:half] + word[half - 1 : half] + word[half:], "x".join(word)]
 
 
 class Model:
-    """Landmarks with their weights, the bias, and the cut and slope of a text's score."""
-
-    def __init__(self, landmarks: list[str], weights: list[float], bias: float, cut: float = 0.0, slope: float = 1.0):
-        self.weights, self.bias, self.cut, self.slope = weights, bias, cut, slope
-        self.index: dict[str, list[tuple[int, float]]] = {}
-        for j, x in enumerate(landmarks):
-            for u, v in _unit(x).items():
-                self.index.setdefault(u, []).append((j, v))
-        signs = sorted({c for u in self.index for c in u} - {"^"})[: SIGNS - 2]
-        self.sign = np.zeros(1 << 16, np.int32)
-        self.sign[[ord(c) for c in ["^", *signs] if ord(c) < 1 << 16]] = [i + 1 for i, c in enumerate(["^", *signs]) if ord(c) < 1 << 16]
-        number = {c: int(self.sign[ord(c)]) if ord(c) < 1 << 16 else 0 for c in ["^", *signs]}
-        self.most = np.zeros(SIGNS**3, np.float32)
-        for u, near in self.index.items():
-            at = [number.get(c, 0) for c in u]
-            if all(at):
-                self.most[(at[0] * SIGNS + at[1]) * SIGNS + at[2]] = max(v for _, v in near)
-        self.whole = all(all(number.get(c, 0) for c in u) for u in self.index)
+    """A weight for each landmark, the bias, and the cut and slope of a text's score."""
+
+    def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float, cut: float = 0.0, slope: float = 1.0):
+        self.landmarks, self.weights, self.bias, self.cut, self.slope = landmarks, weights, bias, cut, slope
 
     @classmethod
-    def fitted(cls, landmarks: list[str], toxic: list[str], clean: list[str]) -> Model:
-        marks = [_unit(x) for x in landmarks]
-        value, vector = np.linalg.eigh(_kernel(marks, marks))
+    def solved(cls, landmarks: Landmarks, marked: int, toxic: np.ndarray, clean: np.ndarray) -> Model:
+        """From the kernel rows of example sentences. The first ``marked`` landmarks are of toxic texts: with inserted
+        characters they are examples too, of little weight."""
+        value, vector = np.linalg.eigh(landmarks.kernel(landmarks.marks))
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        words = [v for x in toxic for v in _variants(x)]
-        weight = np.array([v for _, v in words] + [1.0] * len(clean))
-        y = np.array([1.0] * len(words) + [-1.0] * len(clean))
-        weight[y > 0] *= len(clean) / max(1e-9, weight[y > 0].sum())
-        features = _kernel([_unit(x) for x in [*(w for w, _ in words), *clean]], marks) @ root
-        w = _machine(features, y, weight)
-        return cls(landmarks, (root @ w[:-1]).tolist(), float(w[-1]))
-
-    def word(self, word: str) -> float:
-        """The margin of a word, or of its letters alone where other signs stand between them."""
-        word = word.strip(_EDGE)
-        letters = "".join(filter(str.isalpha, word))
-        return max(self._whole(word), self._whole(letters)) if 2 < len(letters) < len(word) else self._whole(word)
-
-    def _whole(self, word: str) -> float:
-        if len(word) > WINDOW:
-            return max(self._part(word[i : i + WINDOW]) for i in range(0, len(word) - WINDOW // 2, WINDOW // 2))
-        return self._part(word)
-
-    def _part(self, word: str) -> float:
-        shared: dict[int, float] = {}
-        for u, v in subsequences(word).items():
-            for j, x in self.index.get(u, ()):
-                shared[j] = shared.get(j, 0.0) + v * x
-        norm = _norm(word)
-        if not shared or max(shared.values()) < LEAST_SHARED * norm:
-            return self.bias
-        return self.bias + sum([self.weights[j] * (k / norm) ** POWER for j, k in shared.items()])
-
-    def bounds(self, words: list[str]) -> np.ndarray:
-        """For each word no less than its largest kernel value (before the power) with any landmark: every subsequence
-        counts as it does for the landmark that has most of it."""
-        lengths = np.array([len(w) + 1 for w in words])
-        points = np.frombuffer("".join(["^" + w for w in words]).encode("utf-32-le"), "<u4")
-        codes = self.sign[np.minimum(points, (1 << 16) - 1)]
-        of = np.repeat(np.arange(len(words)), lengths)
-        total = np.zeros(len(words))
-        for last in range(2, SPAN):
-            inside = np.flatnonzero(of[last:] == of[:-last])
-            for middle in range(1, last):
-                at = (codes[inside] * SIGNS + codes[inside + middle]) * SIGNS + codes[inside + last]
-                total += np.bincount(of[inside], self.most[at], len(words)) * _WEIGHT[last]
-        norms = {n: _norm("x" * (n - 1)) for n in set(lengths.tolist())}
-        return total / np.array([norms[n] for n in lengths.tolist()])
-
-    def margins(self, words: list[str]) -> list[float]:
-        """The margin of each word. Words of letters alone whose bound is too small share nothing that counts."""
-        plain = [w.strip(_EDGE) for w in words]
-        simple = [i for i, w in enumerate(plain) if self.whole and 0 < len(w) <= WINDOW and w.isalpha()]
-        out = [math.nan] * len(words)
-        if simple:
-            for i, bound in zip(simple, self.bounds([plain[i] for i in simple]).tolist()):
-                if bound < LEAST_SHARED:
-                    out[i] = self.bias
-        return [self.word(w) if math.isnan(m) else m for w, m in zip(words, out)]
-
-    def score(self, margin: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * (margin - self.cut)))))
+        inserted = landmarks.kernel([v for m in landmarks.marks[:marked] for v in _variants(m)])
+        y = np.repeat([1.0, 1.0, -1.0], [len(toxic), len(inserted), len(clean)])
+        weight = np.repeat([1.0, 0.2 * len(toxic) / max(1, len(inserted)), 1.0], [len(toxic), len(inserted), len(clean)])
+        weight[y > 0] *= len(clean) / weight[y > 0].sum()
+        w = _machine(np.vstack([toxic, inserted, clean]) @ root, y, weight)
+        return cls(landmarks, root @ w[:-1], float(w[-1]))
+
+    @classmethod
+    def fitted(cls, landmarks: list[str], toxic: list[str], clean: list[str]) -> Model:
+        """From example sentences."""
+        marks = Landmarks(landmarks)
+        toxic, clean = (np.array([marks.sentence(s) for x in texts for s in sentences(x)]) for texts in (toxic, clean))
+        return cls.solved(marks, len(landmarks), toxic, clean)
+
+    def __reduce__(self):
+        return _rebuilt, (self.landmarks.marks, self.weights, self.bias, self.cut, self.slope)
+
+    def margins(self, words: list[str]) -> np.ndarray:
+        """What each word adds to a sentence's margin."""
+        return self.landmarks.words(words, lambda parts: self.landmarks.kernel(parts) @ self.weights)
 
     def calibrate(self, margins: np.ndarray, toxic: np.ndarray) -> None:
         """The cut with the fewest errors, in the middle of the widest such gap; the slope from the classes' distance."""
@@ -230,22 +278,32 @@ class Model:
         self.slope = 8 / max(apart, 1e-3)
 
 
-class Scorer(dict):
-    """``self[word]`` is a word's margin; recent words are remembered, and those new in a group of texts are scored
-    together."""
+def _rebuilt(marks: list[str], weights: np.ndarray, bias: float, cut: float, slope: float) -> Model:
+    return Model(Landmarks(marks), weights, bias, cut, slope)
 
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
 
-    def __missing__(self, word: str) -> float:
-        return self.model.word(word)  # only long ones and runs of letters: they are not remembered
+class Evidence:
+    """Before any machine: a sentence's margin is the sum of the log odds of its parts."""
 
-    def worst(self, text: str) -> tuple[float, str]:
-        return next(self.all([text]))
+    bias = 0.0
+
+    def __init__(self, odds: dict[str, float]):
+        self.odds = odds
+
+    def margins(self, words: list[str]) -> np.ndarray:
+        return np.array([sum([self.odds.get(p, 0.0) for p in parts_of(w)]) for w in words])
+
+
+class Scorer:
+    """Texts' margins. What recent words add is remembered; those new in a group of texts are computed together."""
 
-    def all(self, texts: Iterable[str]) -> Iterator[tuple[float, str]]:
-        """For each text the margin of its worst word, and the word; without words one below the bias, and ''."""
+    def __init__(self, model: Model | Evidence):
+        self.model = model
+        self.known: dict[str, float] = {}
+
+    def all(self, texts: Iterable[str]) -> Iterator[tuple[float, list[str]]]:
+        """For each text the margin of its worst sentence, and that sentence's words; without words one below the
+        bias, and none."""
         held, size = [], 0
         for x in texts:
             held.append(x)
@@ -255,24 +313,29 @@ class Scorer(dict):
                 held, size = [], 0
         yield from self._group(held)
 
-    def _group(self, texts: list[str]) -> Iterator[tuple[float, str]]:
-        lows = [x.lower() for x in texts]
-        words = [x.split() for x in lows]
-        if len(self) >= CACHE:
-            self.clear()
-        new = [w for w in set().union(*words) if w not in self and len(w) <= 2 * WINDOW]
-        self.update(zip(new, self.model.margins(new)))
-        for low, own in zip(lows, words):
-            if not own:
-                yield self.model.bias - 1.0, ""
-                continue
-            scores = list(map(self.__getitem__, own))
-            best = max(scores)
-            best = best, own[scores.index(best)]
-            for run in _SPACED.findall(low):
-                joined = "".join(run.split())
-                best = max(best, (self[joined], joined))
-            yield best
+    def _group(self, texts: list[str]) -> Iterator[tuple[float, list[str]]]:
+        flat: list[str] = []
+        ends: list[int] = []
+        last = [add_sentences(x, flat, ends) or len(ends) for x in texts]
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        new = list(set(flat).difference(self.known))
+        self.known.update(zip(new, self.model.margins(new).tolist()) if new else ())
+        added = np.fromiter(map(self.known.__getitem__, flat), float, len(flat))
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del self.known[w]
+        starts = np.array([0, *ends])
+        sums = np.add.reduceat(added, starts[:-1]) + self.model.bias if ends else added
+        for first, end in zip([0, *last], last):
+            if first == end:
+                yield self.model.bias - 1.0, []
+            else:
+                worst = first + int(np.argmax(sums[first:end]))
+                yield round(float(sums[worst]), 9), flat[starts[worst] : starts[worst + 1]]
+
+    def worst(self, text: str) -> tuple[float, list[str]]:
+        return next(self.all([text]))
 
 
 _ready: list[tuple[int, Scorer]] = []
@@ -285,16 +348,16 @@ def _scorer(stamp: int, model: Model) -> Scorer:
 
 
 def margins(rows: DataFrame, model: Model) -> DataFrame:
-    """(key, margin, word) of rows (key long, text): word is the worst one, its first WINDOW characters."""
-    shared, stamp = rows.sparkSession.sparkContext.broadcast(model), hash((model.bias, *model.weights))
+    """(key, margin) of rows (key long, text)."""
+    shared, stamp = rows.sparkSession.sparkContext.broadcast(model), hash((model.bias, *model.weights.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(stamp, shared.value)
         for batch in batches:
-            out = list(scorer.all(x.as_py() for x in batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in out], pa.float64()), pa.array([w.strip(_EDGE)[:WINDOW] for _, w in out], pa.string())], names=["key", "margin", "word"])
+            out = [m for m, _ in scorer.all(x.as_py() for x in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["key", "margin"])
 
-    return rows.select("key", no_null("text").alias("text")).mapInArrow(run, "key long, margin double, word string")
+    return rows.select("key", no_null("text").alias("text")).mapInArrow(run, "key long, margin double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -302,47 +365,99 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, toxic, text) of at most MAX_LABELLED labelled documents outside the held-out fold."""
+    """(sign, toxic, text) of at most MAX_LABELLED different texts of labelled documents outside the held-out fold."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    return docs.join(F.broadcast(marked), "doc_id").select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic"), no_null("text").alias("text"))
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
+    sign = let(F.split(F.lower(no_null("text")), r"\s+"), lambda words: F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))))
+    rows = docs.join(marked, "doc_id").select("toxic", no_null("text").alias("text")).withColumn("sign", sign)
+    one = rows.groupBy("sign").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = written(one, "labelled")
+    chosen = one.select("sign").orderBy("sign").limit(MAX_LABELLED)
+    return one.join(F.broadcast(chosen), "sign")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(part, bad, n): in how many toxic texts, and in how many at all, each part is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic, text in zip(batch.column(0), batch.column(1)):
+                parts = {p for s in sentences(text.as_py()) for w in s for p in parts_of(w)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array([toxic.as_py()] * len(parts), pa.int32())], names=["part", "toxic"])
+
+    return rows.select("toxic", "text").mapInArrow(run, "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+
+
+def _examples(rows: DataFrame, landmarks: Landmarks, model: Model | Evidence) -> tuple[np.ndarray, ...]:
+    """(toxic, margin, worst, other): for each text its worst sentence's kernel row, and that of one by hash."""
+    shared = rows.sparkSession.sparkContext.broadcast((landmarks.marks, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, score = Landmarks(shared.value[0]), Scorer(shared.value[1])
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for sign, toxic, text, (margin, words) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, score.all(texts)):
+                every = [] if toxic else sentences(text)
+                pair = [marks.sentence(words), marks.sentence(every[sign % len(every)] if every else [])]
+                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([margin], pa.float64()), *(pa.array([z.astype("<f4").tobytes()], pa.binary()) for z in pair)], names=["toxic", "margin", "worst", "other"])
+
+    seen = rows.select("sign", "toxic", "text").mapInArrow(run, "toxic int, margin double, worst binary, other binary").collect()  # at most MAX_LABELLED
+    z = [np.array([np.frombuffer(r[c], "<f4") for r in seen], float).reshape(len(seen), -1) for c in ("worst", "other")]
+    return np.array([r["toxic"] for r in seen]), np.array([r["margin"] for r in seen]), *z
+
+
+def spread(parts: list[str], weight: np.ndarray, most: int) -> list[str]:
+    """At most ``most`` of the parts, by pivoted Cholesky: next comes the one whose kernel those before explain least,
+    times its weight."""
+    if not parts:
+        return []
+    kernel = Landmarks(parts).kernel(parts)
+    left, rows, chosen = kernel.diagonal().copy(), [], []
+    while len(chosen) < min(most, len(parts)):
+        at = int(np.argmax(left * weight))
+        if left[at] < 1e-3:
+            break
+        row = (kernel[at] - sum([r[at] * r for r in rows], np.zeros(len(parts)))) / math.sqrt(left[at])
+        rows.append(row)
+        left = left - row**2
+        left[at] = 0
+        chosen.append(at)
+    return [parts[i] for i in chosen]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The fitted model, or None if no string marks toxic texts."""
-    own = training_rows(docs, labels)
-    trimmed = F.transform(F.split(F.lower("text"), r"[\s]+"), lambda w: F.btrim(w, F.lit(_EDGE)))
-    rows = written(own.withColumn("raw", trimmed), "labelled")
-    raw = rows.select("toxic", "raw", F.array_distinct("raw").alias("words"))
-    threes = F.transform("raw", lambda w, i: F.xxhash64(w, F.get("raw", i + 1), F.get("raw", i + 2)))
-
-    def heads(n: int) -> Column:
-        return F.transform("words", lambda w: F.concat(F.lit(f"{n:02d}"), F.substring(w, 1, n)))
-
-    signed = written(raw.select("toxic", F.array_min(threes).alias("sign"), F.array_distinct(F.concat(*[heads(n) for n in (*PREFIXES, WINDOW)])).alias("units")), "signs")
-    # copies of a text share its sign, the least hash of three words, and count once
-    units = signed.select("toxic", "sign", F.explode("units").alias("u")).groupBy("u", "sign").agg(F.max("toxic").alias("toxic"))
-    counts = units.groupBy("u").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("length(u) > 2")
-    counts = written(counts.select(F.substring("u", 1, 2).cast("int").alias("kind"), F.expr("substring(u, 3)").alias("unit"), "bad", "n"), "units")
-    marks = counts.where("bad >= 3 and bad >= 0.9 * n and length(unit) >= 4").orderBy(F.desc("bad"), "kind", "unit").limit(4 * LANDMARKS).collect()
-    if not marks:
+    """The fitted model, or None if no part tells toxic texts apart."""
+    rows = training_rows(docs, labels)
+    size = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
+    bad, n = size["bad"], size["n"]
+    if not 0 < bad < n:
         return None
-    stems = [r["unit"] for r in marks]
-    whole = counts.where(F.col("kind") == WINDOW)
-    of_stem = F.col("unit").isin(stems)
-    for n in PREFIXES:
-        of_stem = of_stem | F.substring("unit", 1, n).isin([s for s in stems if len(s) == n])
-    toxic = [r["unit"] for r in whole.where("bad >= 0.9 * n").where(of_stem).orderBy(F.desc("bad"), "unit").limit(MAX_EXAMPLES).collect()]
-    often = whole.where("bad < 0.5 * n").orderBy(F.desc("n"), "unit").limit(MAX_EXAMPLES).collect()
-    spread = whole.where("bad < 0.5 * n").orderBy(F.xxhash64("unit"), "unit").limit(MAX_EXAMPLES).collect()
-    clean = {r["unit"] for r in [*often, *spread]}
-    if not toxic or not clean:
+    counts = written(_counts(rows), "part-counts")
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
+    # the likelihood ratio of a part's own share of toxic texts against that of all texts
+    ratio = F.col("bad") * F.log(F.col("bad") * n / (F.col("n") * bad)) + F.when(F.col("n") > F.col("bad"), (F.col("n") - F.col("bad")) * F.log((F.col("n") - F.col("bad")) * n / (F.col("n") * (n - bad)))).otherwise(0.0)
+    telling = counts.where("bad >= 2 and length(part) > 2").select("part", odds.alias("odds"), ratio.alias("ratio")).where("odds > 0 and ratio > 4")
+    toxic = telling.orderBy(F.desc("ratio"), "part").limit(CANDIDATES).collect()
+    clean = counts.where("bad = 0 and length(part) > 2").orderBy(F.desc("n"), "part").limit(CANDIDATES).collect()
+    if not toxic:
+        return None
+    marks = spread([r["part"] for r in toxic], np.sqrt([r["ratio"] for r in toxic]), LANDMARKS[0])
+    marked = len(marks)
+    marks += spread([r["part"] for r in clean], np.ones(len(clean)), LANDMARKS[1])
+    landmarks, model, least, others = Landmarks(marks), Evidence({r["part"]: r["odds"] for r in toxic}), 0.0, []
+    for turn in range(ROUNDS):
+        y, margin, worst, other = _examples(rows, landmarks, model)
+        # later on, sentences beyond the margin would not move the machine
+        others += [worst[(y == 0) & (margin > -1)]] if turn else [worst[y == 0], other[y == 0]]
+        found = worst[(y == 1) & (margin > least)]  # a text whose worst sentence is plainly clean teaches nothing
+        if not len(found):
+            break
+        model, least = Model.solved(landmarks, marked, found, np.vstack(others)), -0.8
+    if isinstance(model, Evidence):
         return None
-    for _ in range(ROUNDS):
-        model = Model.fitted(list(dict.fromkeys(stems))[:LANDMARKS], toxic, sorted(clean))
-        seen = margins(rows, model).join(rows.select("key", "toxic"), "key").select("margin", "toxic", "word").collect()  # at most MAX_LABELLED
-        model.calibrate(np.array([r["margin"] for r in seen]), np.array([r["toxic"] for r in seen]))
-        clean |= {r["word"] for r in seen if not r["toxic"] and r["margin"] > -0.5} - set(toxic)
+    seen = margins(rows.withColumn("key", F.col("toxic").cast("long")), model).collect()  # at most MAX_LABELLED
+    model.calibrate(np.array([r["margin"] for r in seen]), np.array([r["key"] for r in seen]))
     return model
 
 

@@ -332,13 +332,3 @@ def test_pipeline(spark, sf, codec):
         ids = codec[1].encode_ordinary(text)
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert bag(corpus_pipeline.run(spark, sf).collect()) == bag(want)
-
-
-def test_toxicity_bound_holds():
-    marks = ["loser", "idiot", "pathetic", "moron", "trash"]
-    model = toxicity.Model.fitted(marks, marks, "nation the condition stone river garden morning".split() * 5)
-    words = ["idiots", "idi", "x", "pathos", "Ωmega", "trashy", "ther", "moronic", "a" * 20]
-    units = [toxicity._unit(m) for m in marks]
-    exact = [max(sum(v * u.get(k, 0) for k, v in toxicity._unit(w).items()) for u in units) for w in words]
-    assert (model.bounds(words) + 1e-6 >= exact).all()
-    assert model.margins(words) == pytest.approx([model.word(w) for w in words])
