@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Columns of a frame, corner frequencies of the bands, and look-back (ms) and decay of the followers.
 COLUMNS = 150
@@ -31,16 +33,66 @@ def coefficients(kind: str, corner: float, rate: int) -> tuple[float, float, flo
     return tuple(v / (1.0 + alpha) for v in (gain / 2, sign * gain, gain / 2, -2.0 * cosine, 1.0 - alpha))
 
 
+#: Samples that are filtered as one block.
+BLOCK = 256
+
+
+@lru_cache(maxsize=64)
+def _responses(a1: float, a2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the recursive half of a section gives in a block: to an impulse at each place (as a matrix), and to each of
+    the two outputs before the block."""
+    rows = []
+    for y1, y2, x in ((0.0, 0.0, 1.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)):
+        out = []
+        for _ in range(BLOCK):
+            y1, y2, x = x - a1 * y1 - a2 * y2, y1, 0.0
+            out.append(y1)
+        rows.append(np.array(out))
+    back = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
+    return np.where(back >= 0, rows[0][np.maximum(back, 0)], 0.0), rows[1], rows[2]
+
+
 def filtered(x: np.ndarray, c: tuple, state: list[float]) -> np.ndarray:
-    """One section over some samples; ``state`` (two inputs, two outputs back) is carried on in place."""
+    """One section over some samples; ``state`` (two inputs, two outputs back) is carried on in place.
+
+    Blocks are filtered as if silence went before, all at once; then each gets what the two outputs before it still give.
+    """
+    if not len(x):
+        return np.zeros(0)
     b0, b1, b2, a1, a2 = c
     x1, x2, y1, y2 = state
-    out = np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-        x2, x1, y2, y1 = x1, v, y1, y
-        out[i] = y
-    state[:] = [x1, x2, y1, y2]
+    past = np.concatenate([[x2, x1], x])
+    impulse, one, two = _responses(a1, a2)
+    blocks = -(-len(x) // BLOCK)
+    driven = np.zeros(blocks * BLOCK)
+    driven[: len(x)] = b0 * x + b1 * past[1:-1] + b2 * past[:-2]
+    out = driven.reshape(blocks, BLOCK) @ impulse.T
+    ends = out[:, [-1, -2]].tolist()
+    before = []
+    p1, p2, q1, q2 = one[-1], two[-1], one[-2], two[-2]
+    for e1, e2 in ends:
+        before.append((y1, y2))
+        y1, y2 = e1 + p1 * y1 + p2 * y2, e2 + q1 * y1 + q2 * y2
+    before = np.array(before)
+    out = (out + before[:, :1] * one + before[:, 1:] * two).reshape(-1)[: len(x)]
+    last = np.concatenate([[state[3], state[2]], out])[-2:]
+    state[:] = [float(past[-1]), float(past[-2]), float(last[1]), float(last[0])]
+    return out
+
+
+def bands() -> list[list[list[float]]]:
+    """The state of each band's sections, at rest."""
+    return [[[0.0] * 4 for _ in band] for band in CORNERS]
+
+
+def magnitudes(x: np.ndarray, rate: int, sections: list[list[list[float]]]) -> np.ndarray:
+    """(samples, bands): each band's magnitude on a scale of 32768."""
+    out = np.empty((len(x), len(CORNERS)))
+    for lane, (band, states) in enumerate(zip(CORNERS, sections)):
+        y = x
+        for (kind, corner), state in zip(band, states):
+            y = filtered(y, coefficients(kind, corner, rate), state)
+        out[:, lane] = np.abs(y) * 32768.0
     return out
 
 
@@ -53,7 +105,7 @@ class Track:
 
     def __init__(self, rate: int):
         self.rate, self.count, self.first_ms, self.drawn = rate, 0, 0, 0
-        self.sections = [[[0.0] * 4 for _ in band] for band in CORNERS]
+        self.sections = bands()
         self.peaks: list[list[float]] = []  # of each millisecond from first_ms on
         self.follow = [[0.0, 0] for _ in FOLLOWERS]
         self.pending: list[int] = []
@@ -70,18 +122,13 @@ class Track:
     def push(self, samples: np.ndarray) -> list[tuple[int, int, bytes]]:
         """(offset, columns, data) of the frames that these samples complete."""
         x = np.asarray(samples, np.float64) / 32768.0
-        levels = []
-        for band, states in zip(CORNERS, self.sections):
-            y = x
-            for (kind, corner), state in zip(band, states):
-                y = filtered(y, coefficients(kind, corner, self.rate), state)
-            levels.append(np.minimum(32767, np.floor(np.abs(y) * 32767.0)))
-        ms = (self.count + np.arange(len(x))) * 1000 // self.rate - self.first_ms
         if len(x):
+            levels = magnitudes(x, self.rate, self.sections)
+            ms = (self.count + np.arange(len(x))) * 1000 // self.rate - self.first_ms
+            starts = np.flatnonzero(np.concatenate([[True], ms[1:] != ms[:-1]]))
             peaks = np.zeros((max(int(ms[-1]) + 1, len(self.peaks)), 3))
             peaks[: len(self.peaks)] = np.array(self.peaks).reshape(-1, 3)
-            for lane in range(3):
-                np.maximum.at(peaks[:, lane], ms, levels[lane])
+            peaks[ms[starts]] = np.maximum(peaks[ms[starts]], np.maximum.reduceat(levels, starts, axis=0))
             self.peaks = peaks.tolist()
             self.count += len(x)
         closed = self.count * 1000 // self.rate
@@ -90,6 +137,8 @@ class Track:
     def finish(self) -> list[tuple[int, int, bytes]]:
         """The rest, so that all frames add up to the detail width."""
         width = max(1, -(-self.count * COLUMNS // self.rate))
+        whole = max(1, self.count * 1000 // self.rate) - self.first_ms  # the rest of the last millisecond does not count
+        self.peaks = [[min(32767.0, v) for v in p] for p in self.peaks[:whole]]
         out = self._draw(lambda column: column < width)
         if self.pending:
             out.append(self._frame())
@@ -129,19 +178,30 @@ class Track:
         return self.drawn - columns, columns, data
 
 
+FIELDS = ["track", "offset", "columns", "data"]
+
+
 def _rows(track: str, frames: list[tuple[int, int, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame([(track, *f) for f in frames], columns=["track", "offset", "columns", "data"])
+    return pd.DataFrame([(track, *f) for f in frames], columns=FIELDS)
 
 
 def batch_frames(chunks: DataFrame, rate: int) -> DataFrame:
     """Frames of (track, seq, samples) that lie there in whole."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state = Track(rate)
-        frames = [f for x in pdf.sort_values("seq")["samples"] for f in state.push(x)]
-        return _rows(key[0], frames + state.finish())
-
-    return chunks.groupBy("track").applyInPandas(run, SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        track, state = None, None
+        for batch in batches:
+            for name, samples in zip(batch["track"], batch["samples"]):
+                if name != track:
+                    if state is not None:
+                        yield _rows(track, state.finish())
+                    track, state = name, Track(rate)
+                yield _rows(track, state.push(samples))
+        if state is not None:
+            yield _rows(track, state.finish())
+
+    rows = chunks.select(F.col("track").cast("string").alias("track"), "seq", "samples")
+    return rows.repartition("track").sortWithinPartitions("track", "seq").mapInPandas(run, SCHEMA)
 
 
 def stream_frames(chunks: DataFrame, rate: int) -> DataFrame:
