@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The temporary folder of a local session, removed when Python ends.
+_own: list[str] = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder that no plan reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
@@ -37,16 +49,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="tactus-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tactus-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        root = _own[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """The rows, written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    """The rows, written to the shared folder and read back: cuts the lineage and survives lost executors. ``name`` is what
+    the folder's name begins with, or a path of ``scratch``."""
+    path = name if "/" in name else scratch(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

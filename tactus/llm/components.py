@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import written
+from tactus.llm.common import removed, scratch, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,10 +36,13 @@ def _state(edges: DataFrame) -> tuple:
 
 def stars(edges: DataFrame) -> DataFrame:
     """(a, b) with a the least node of b's component, for every other node b of it; ``edges`` has a < b."""
-    edges = written(edges.distinct(), "edges")
+    spark, path = edges.sparkSession, scratch(edges.sparkSession, "edges")
+    edges = written(edges.distinct(), path)
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        old, path = path, scratch(spark, "edges")
+        edges = written(_small_star(_large_star(edges)), path)
+        removed(spark, old)
         before, state = state, _state(edges)
         if state == before:
             break

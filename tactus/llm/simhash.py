@@ -2,20 +2,24 @@
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most three bits differ in at most three
 bytes, so they share at least five positional bytes: the count that a pair's tally must reach. Posting lists of single
-bytes hold a 256th of all fingerprints, and tallying their pairs one by one is quadratic; the index therefore posts each
-fingerprint under every set of five positions with their bytes (56 lists of 40 bits). A pair meets in such a list
-exactly if its tally reaches five, so the lists' members are the pairs that count filtering retains. Each is verified by
-the bits that differ.
+bytes hold a 256th of all fingerprints, which makes tallies quadratic. Of five shared positions at least three lie in the
+same half, so a pair also meets under three positional bytes of one half: the index posts a fingerprint eight times, under
+every three of four positions (24 bits). For each pair that meets, the shared positional bytes are tallied; pairs that reach
+five are retained and verified by the bits that differ.
 
-Only distinct fingerprints are indexed, so a group of copies is one entry. A list has at most 2^24 members, because 24
-bits of a member are free: that bounds what meets in one task. In a short list all pairs are tested. In a longer one a
-search from member to member yields the links of a spanning forest, at most one for each member, so a dense group never
-becomes a quadratic number of rows; beyond 4,096 members the search looks up each member's 2,324 possible neighbours
-in a table of the free bits and needs time in proportion to the list.
+Only distinct fingerprints are indexed, so a group of copies is one entry. Members of lists longer than LONG are posted
+under every set of five positions instead (56 lists of 40 bits), where only pairs that reach the tally meet, and which have at
+most 2^24 members, because 24 bits of a member are free: that bounds what meets in one task. In a short list all pairs are
+tallied. In a longer one a search from member to member yields the links of a spanning forest, at most one for each member,
+so a dense group never becomes a quadratic number of rows; beyond 4,096 members the search looks up each member's 2,324
+possible neighbours in a table of the free bits and needs time in proportion to the list.
+
+Documents that share a fingerprint meet in joins on it alone, which AQE splits where one is hot.
 
 Edge cases: a null text is empty; texts without words have fingerprint 0 and are linked like any other; fewer than three
 words make one shingle; ids that are null belong to their component but never name it (component_id is null if all are);
-repeated rows are in one component; an empty table gives an empty result.
+repeated rows are in one component; very long texts are hashed in pieces of bounded size; ties for the least doc_id go to the
+least text hash; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ MOST_BITS = 3
 #: Shared positional bytes that a pair within MOST_BITS has at least.
 LEAST_SHARED = 8 - MOST_BITS
 LISTS = list(combinations(range(8), LEAST_SHARED))
+#: Any five of eight positions hold one of these.
+BLOCKS = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
+#: The most members of a list under BLOCKS.
+LONG = 4096
 
 ALL_PAIRS = 24
 BY_TABLE = 4096
@@ -77,20 +85,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key struct<doc_id: long, tie: long>, fp long").select("key.doc_id", "key.tie", "fp")
 
 
-def postings(distinct: DataFrame) -> DataFrame:
-    """(key, fp): the list's number above 40 bits of its bytes, for each of the 56 lists of a fingerprint."""
+def postings(distinct: DataFrame, lists: list[tuple[int, ...]] = BLOCKS) -> DataFrame:
+    """(key, fp): the list's number above the bytes at its positions, for each list of a fingerprint."""
 
     def key(number: int, places: tuple[int, ...]) -> Column:
-        out = F.lit(number << 40).cast("long")
+        out = F.lit(number << 8 * len(places)).cast("long")
         for to, at in enumerate(places):
             out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 8 * at).bitwiseAND(F.lit(255).cast("long")), 8 * to))
         return out
 
-    return distinct.select("fp", F.explode(F.array(*[key(n, p) for n, p in enumerate(LISTS)])).alias("key"))
+    return distinct.select("fp", F.explode(F.array(*[key(n, p) for n, p in enumerate(lists)])).alias("key"))
+
+
+def _first(lists: list[tuple[int, ...]]) -> np.ndarray:
+    """For each set of equal bytes (a bit each) the first list that holds such pairs: a pair is reported there only."""
+    return np.array([next((n for n, p in enumerate(lists) if all(m >> i & 1 for i in p)), 99) for m in range(256)], np.int64)
 
 
-#: For each set of equal bytes (a bit each) the first list that holds such pairs: a pair is reported there only.
-_FIRST = np.array([next((n for n, p in enumerate(LISTS) if all(m >> i & 1 for i in p)), 99) for m in range(256)], np.int64)
 _MASKS = np.array([sum(1 << i for i in c) for r in range(1, MOST_BITS + 1) for c in combinations(range(8 * MOST_BITS), r)], np.int64)
 
 
@@ -100,6 +111,13 @@ def _equal_bytes(x: np.ndarray) -> np.ndarray:
     return np.packbits(same, axis=1, bitorder="little")[:, 0]
 
 
+def _near(x: np.ndarray) -> np.ndarray:
+    """For each xor of a pair that met: whether the tally of its shared positional bytes suffices, and then its bits do."""
+    retained = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= LEAST_SHARED
+    retained[retained] = np.bitwise_count(x[retained]) <= MOST_BITS
+    return retained
+
+
 def _forest(fp: np.ndarray) -> Iterator[tuple[int, int]]:
     """Links that join the members of one list within MOST_BITS, one for each member but the first of a group."""
     rest = np.arange(len(fp))
@@ -107,7 +125,7 @@ def _forest(fp: np.ndarray) -> Iterator[tuple[int, int]]:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[at]) <= MOST_BITS
+            near = _near(fp[rest] ^ fp[at])
             if near.any():
                 for other in rest[near]:
                     yield at, other
@@ -137,8 +155,9 @@ def _forest_by_table(fp: np.ndarray, number: int) -> Iterator[tuple[int, int]]:
             front += near.tolist()
 
 
-def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, fp: np.ndarray, lists: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """The links inside whole lists, sorted by key; fp unsigned and distinct in a list."""
+    first, bits = _first(lists), 8 * len(lists[0])
     bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     sizes = np.diff(bounds)
     left, right = [], []
@@ -148,14 +167,14 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         x = fp[at] ^ fp[at + step]
-        near = np.bitwise_count(x) <= MOST_BITS
+        near = _near(x)
         at, x = at[near], x[near]
-        own = _FIRST[_equal_bytes(x)] == key[at] >> 40
+        own = first[_equal_bytes(x)] == key[at] >> bits
         left.append(fp[at[own]])
         right.append(fp[at[own] + step])
     for n in np.flatnonzero(sizes > ALL_PAIRS):
         own = fp[bounds[n] : bounds[n + 1]]
-        found = _forest(own) if len(own) <= BY_TABLE else _forest_by_table(own, int(key[bounds[n]] >> 40))
+        found = _forest(own) if len(own) <= BY_TABLE else _forest_by_table(own, int(key[bounds[n]] >> bits))
         pairs = np.array(list(found), np.int64).reshape(-1, 2)
         left.append(own[pairs[:, 0]])
         right.append(own[pairs[:, 1]])
@@ -163,27 +182,40 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: links that connect exactly the fingerprints that chains of three bits connect."""
+def _met(posted: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
+    """(a, b), a < b: the links inside the lists of ``posted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of one list that may go on, but for the last batch
 
         def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = (x.view(np.int64) for x in _links(key, fp))
+            a, b = (x.view(np.int64) for x in _links(key, fp, lists))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-            if len(key) and key[0] != key[-1]:  # the last list may go on
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(key):
+                continue
+            if key[-1] != (held[0][0][0] if held else key[0]):
                 cut = int(np.searchsorted(key, key[-1]))
-                yield out(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
-        if len(key):
-            yield out(key, fp)
+                held.append((key[:cut], fp[:cut]))
+                yield out(*map(np.concatenate, zip(*held)))
+                held, key, fp = [], key[cut:], fp[cut:]
+            held.append((key, fp))
+        if held:
+            yield out(*map(np.concatenate, zip(*held)))
+
+    return posted.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+
 
-    return postings(distinct).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: links that connect exactly the fingerprints that chains of three bits connect."""
+    posted = postings(distinct)
+    long = written(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("key"), "long-lists")
+    if not long.take(1):
+        return _met(posted, BLOCKS)
+    members = posted.join(long, "key", "left_semi").select("fp").distinct()
+    return _met(posted.join(long, "key", "left_anti"), BLOCKS).union(_met(postings(members, LISTS), LISTS))
 
 
 def components(docs: DataFrame) -> DataFrame:
