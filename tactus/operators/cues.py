@@ -53,11 +53,11 @@ def nearest_beat(downbeats: DataFrame, beats: DataFrame, track: str) -> DataFram
     there is no range join.
     """
     both = beats.select(track, "ms", F.col("i").alias("_i"), F.lit(None).cast("long").alias("_d")).union(downbeats.select(track, "ms", F.lit(None).cast("long").alias("_i"), F.col("d").alias("_d")))
-    order = Window.partitionBy(track).orderBy("ms", F.col("_d").isNotNull())
+    down, own = F.col("_d").isNotNull(), Window.partitionBy(track)
+    # both look back from the row, over beats in falling and in rising order: a frame that looks ahead is quadratic
+    before = own.orderBy("ms", down, F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    after = own.orderBy(F.desc("ms"), ~down, F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col("_i").isNotNull(), F.struct("ms", "_i"))
-    near = both.withColumns({
-        "before": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-    }).where("_d is not null")
+    near = both.withColumns({"before": F.last(point, ignorenulls=True).over(before), "after": F.last(point, ignorenulls=True).over(after)}).where("_d is not null")
     later = F.col("after").isNotNull() & (F.col("before").isNull() | (F.col("after.ms") - F.col("ms") < F.col("ms") - F.col("before.ms")))
     return near.select(track, F.col("_d").alias("d"), F.when(later, F.col("after._i")).otherwise(F.col("before._i")).alias("i"))

@@ -32,11 +32,15 @@ def reduce_grids(beats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def score(pairs: DataFrame) -> DataFrame:
-    """``pairs`` has ref_ and got_ bpm, downbeat_ms and bar; adds bpm_delta, phase_beats, bars, pass and class.
+    """``pairs`` has ref_ and got_ bpm, downbeat_ms and bar, and may have got_gap; adds bpm_delta, phase_beats, bars, pass
+    and class.
 
-    A reference that starts before zero cannot count bars, so its bars are zero. Without a downbeat the row is an error.
+    Offsets are measured by the reference's beat; without its tempo by got_gap, the upper median of the result's positive
+    beat gaps in seconds; without that by the result's tempo. A reference that starts before zero cannot count bars, so
+    its bars are zero. Without a downbeat the row is an error.
     """
-    period = F.when(F.col("ref_bpm") > 0, 60.0 / F.col("ref_bpm"))
+    gap = F.col("got_gap") if "got_gap" in pairs.columns else F.lit(None).cast("double")
+    period = F.coalesce(F.when(F.col("ref_bpm") > 0, 60.0 / F.col("ref_bpm")), F.when(gap > 0, gap), F.when(F.col("got_bpm") > 0, 60.0 / F.col("got_bpm")))
     bar = F.when(F.col("ref_bar") > 0, F.col("ref_bar")).otherwise(4).cast("double")
     offset = (F.col("got_downbeat_ms") - F.col("ref_downbeat_ms")) / F.lit(1000.0)
     beats, bars = g.phase(offset, F.coalesce(period, F.lit(0.0)), bar)
@@ -52,7 +56,7 @@ def score(pairs: DataFrame) -> DataFrame:
 
 def breakdown(scores: DataFrame, place: str) -> DataFrame:
     """Failures by class, the most frequent first, equals by first place."""
-    return scores.where("not pass").groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first_place"))
+    return scores.where("not pass").groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first_place")).orderBy(F.desc("n"), "first_place")
 
 
 def report(scores: DataFrame) -> DataFrame:

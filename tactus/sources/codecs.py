@@ -75,22 +75,24 @@ def sections(data: bytes) -> list[tuple[int, str, int, bytes]]:
     return out
 
 
-def read_sections(files: DataFrame) -> DataFrame:
-    """(path, off, fourcc, len_header, raw) of (path, content); files that are none give no rows."""
+def read_sections(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(path, off, fourcc, len_header, raw) of (path, content). With ``errors`` a file that is none gives a row with its
+    ``error``, else no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content in zip(*[batch.column(i).to_pylist() for i in (0, 1)]):
                 try:
-                    rows += [(path, *s) for s in sections(content or b"")]
-                except ValueError:
-                    continue
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            columns = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["path", "off", "fourcc", "len_header", "raw"])
+                    rows += [(path, *s, None) for s in sections(content or b"")]
+                except ValueError as e:
+                    rows.append((path, None, None, None, None, str(e)))
+            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
+            columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["path", "off", "fourcc", "len_header", "raw", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, off long, fourcc string, len_header long, raw binary")
+    out = files.select("path", "content").mapInArrow(run, "path string, off long, fourcc string, len_header long, raw binary, error string")
+    return out if errors else out.where("error is null").drop("error")
 
 
 def big_endian(data: Column, at: int, size: int) -> Column:
@@ -99,8 +101,54 @@ def big_endian(data: Column, at: int, size: int) -> Column:
 
 
 def audio_path(raw: Column) -> Column:
-    """The UTF-16 text of a path section, up to its first NUL."""
-    return F.substring_index(F.decode(F.expr("substring(raw, 17)") if raw is None else F.substring(raw, 17, 1 << 20), "UTF-16BE"), "\u0000", 1)
+    """The UTF-16 text of a path section, as long as its length field says, up to its first NUL."""
+    size = F.least(big_endian(raw, 12, 4), F.octet_length(raw).cast("long") - 16).cast("int")
+    return F.substring_index(F.decode(F.substring(raw, F.lit(17), size), "UTF-16BE"), "\u0000", 1)
+
+
+def body(raw: Column) -> Column:
+    """A section after its name and lengths; null if there is nothing."""
+    return F.when(F.octet_length(raw) > 12, F.substring(raw, F.lit(13), F.octet_length(raw)))
+
+
+#: For each waveform section whether an entry's bytes stand first, whether a rate follows, and the header.
+WAVEFORMS = {"PWAV": (False, False, 8), "PWV2": (False, False, 8), "PWV3": (True, True, 12), "PWV4": (True, False, 12), "PWV5": (True, True, 12), "PWV6": (True, False, 8), "PWV7": (True, True, 12)}
+
+
+def waveforms(sections_: DataFrame) -> DataFrame:
+    """The waveform sections of (path, off, fourcc, raw): path, off, fourcc, entry_bytes (0 if unknown), entries, rate and
+    data; sections too short for their header give no row."""
+    own, out = body(F.col("raw")), {}
+    columns = {"entry_bytes": F.lit(0), "entries": F.lit(0), "rate": F.lit(0), "header": F.lit(None).cast("int")}
+    for fourcc, (sized, rated, header) in WAVEFORMS.items():
+        here = F.col("fourcc") == fourcc
+        stated = big_endian(own, 0, 4) if sized else F.lit(0)
+        values = {
+            "entry_bytes": F.when(stated != 0, stated).otherwise(1 if fourcc in ("PWAV", "PWV2") else 0),
+            "entries": big_endian(own, 4 if sized else 0, 4),
+            "rate": big_endian(own, 8, 2) if rated else F.lit(0),
+            "header": F.lit(header),
+        }
+        out = {k: F.when(here, v).otherwise((out or columns)[k]) for k, v in values.items()}
+    rows = sections_.withColumns(out).where(F.octet_length(own) >= F.col("header"))
+    return rows.select("path", "off", "fourcc", "entry_bytes", "entries", "rate", F.substring(own, F.col("header") + 1, F.octet_length(own)).alias("data"))
+
+
+def first_section(sections_: DataFrame, fourcc: str) -> DataFrame:
+    """Each file's first section of a name."""
+    return sections_.where(F.col("fourcc") == fourcc).groupBy("path").agg(F.min_by(F.struct("off", "len_header", "raw"), "off").alias("s")).select("path", F.lit(fourcc).alias("fourcc"), "s.*")
+
+
+def band_scales(sections_: DataFrame) -> DataFrame:
+    """(path, low, mid, high): the last six bytes of each file's PWVC section; no row without them."""
+    rows = first_section(sections_, "PWVC").withColumn("p", payload(F.col("raw"), F.col("len_header"))).where("octet_length(p) >= 6")
+    last = F.substring(F.col("p"), F.octet_length("p") - 5, F.lit(6))
+    return rows.select("path", *[big_endian(last, 2 * k, 2).alias(c) for k, c in enumerate(("low", "mid", "high"))])
+
+
+def folded_sections(sections_: DataFrame, folder: Column, order: Column) -> DataFrame:
+    """(folder, fourcc, raw): the last section of each name among a folder's files, by ``order``."""
+    return sections_.withColumns({"folder": folder, "_order": order}).groupBy("folder", "fourcc").agg(F.max_by("raw", F.struct("_order", -F.col("off"))).alias("raw"))
 
 
 def payload(raw: Column, len_header: Column) -> Column:
@@ -109,8 +157,9 @@ def payload(raw: Column, len_header: Column) -> Column:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, and floats in their shortest form: what identities are hashed from."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces, and floats in their shortest form: what identities are hashed from. Numbers
+    that are not finite are a ValueError."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def plain_base64(data: Column) -> Column:
