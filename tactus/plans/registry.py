@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactus.plans import checks, grids, signals, tempos, texts  # noqa: F401 (they register their queries)
+from tactus.plans import checks, grids, signals, stores, tempos, texts  # noqa: F401 (they register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
