@@ -7,12 +7,13 @@ Every parser moves forward only, so a text takes time in proportion to its lengt
 Anchors are looked up in a lower-case copy of the same length, so cues and spelled forms count in any case.
 
 Base kinds: email, ip, card, phone. Added: ``account`` (IBAN by its check digits, behind a cue or by its own form; numbers,
-tokens and keys after a cue: with four digits, or after a colon or equals sign with one, or none for a secret) and ``url`` (a web address that carries credentials); spelled at-signs and ``mailto:`` / ``tel:`` add to
+tokens and keys after a cue: with four digits, or after a colon or equals sign with one, or none for a secret) and ``url`` (a web address of a valid host that carries credentials or a query naming a person or a secret); spelled at-signs and ``mailto:`` / ``tel:`` add to
 email and phone. An added span that overlaps a base span is dropped, so base spans never change.
 
 Edge cases: a null text is empty and has no spans; each row is judged by itself, so repeated rows give equal results;
 an empty table gives an empty result; in ``redacted`` further columns pass through, overlapping spans are replaced
-together by the first one's mark, and a null text stays null.
+together by the first one's mark, and a null text stays null; spans that begin together go in the order of the kinds; parsers
+have no bound on lengths and read very long texts whole; other columns, whatever their names, are not read by ``found``.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}", re.I | re.A)
 #: Without a cue: in groups of four or in one piece.
 _BARE = re.compile(r"[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Z0-9])", re.I | re.A)
 _TEL = re.compile(r"[0-9][ ().0-9-]+[0-9]")
-_AUTHORITY = re.compile(r"[^\s/@:]++:[^\s/@]*+@[^\s\"'<>]++")
+#: What follows a scheme: credentials, a host of labels, a port, and the rest up to white space, quotes or brackets.
+_ADDRESS = re.compile(r"(?:(?P<user>[^\s/@:?#]++:[^\s/@]*+)@)?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?::[0-9]{1,5}+)?(?P<rest>(?:[/?#][^\s\"'<>]*+)?)")
+_PRIVATE = re.compile(r"[?&;](?:access_|auth_|api_?)?(?:token|key|password|passwd|pwd|secret|ssn|email|e-mail|phone|user|username|session|sid)=[^&;#]", re.I)
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 
 
@@ -154,7 +157,7 @@ class Finder:
         plain = text[start] == " "
         left = start if plain else start - (text[start - 1 : start] == " ")
         first = left
-        while first > 0 and left - first < 64 and text[first - 1] in _LOCAL:
+        while first > 0 and text[first - 1] in _LOCAL:
             first -= 1
         at = end + (not plain and text[end : end + 1] == " ")
         label = _LABEL.match(text, at)
@@ -185,13 +188,13 @@ class Finder:
 
     @staticmethod
     def _scheme(text: str, start: int, end: int, out: list[Span]) -> None:
-        found = _AUTHORITY.match(text, end)
-        if found:
-            first = start
-            while first > 0 and start - first < 32 and text[first - 1] in _SCHEME:
-                first -= 1
-            if first < start:
-                out.append((first, "url", found.end()))
+        """A web address with a valid host, if it carries credentials or a query that names a person or a secret."""
+        first = start
+        while first > 0 and text[first - 1] in _SCHEME:
+            first -= 1
+        found = _ADDRESS.match(text, end) if first < start else None
+        if found and (found["user"] or _PRIVATE.search(found["rest"])):
+            out.append((first, "url", end + len(found[0].rstrip(".,;:!?)]}"))))
 
     @staticmethod
     def _bare(text: str, start: int, out: list[Span]) -> None:
@@ -249,7 +252,7 @@ def listed(spans: list[Span]) -> str:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """For each (doc_id, text): counts of the base kinds over all spans' kinds, the base digest and all spans."""
+    """For each (doc_id, text): the counts of the base spans of each kind, their digest, and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder().spans
@@ -257,7 +260,7 @@ def found(docs: DataFrame) -> DataFrame:
             rows = []
             for x in batch.column(1):
                 base, spans = find(x.as_py())
-                kinds = [s[1] for s in spans]
+                kinds = [s[1] for s in base]
                 rows.append((*[kinds.count(k) for k in KINDS[:BASE]], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
             columns = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()] * 2))], names=names)
