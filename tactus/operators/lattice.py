@@ -47,10 +47,13 @@ def anchor_windows(beats: DataFrame, track: str, size: int = ANCHOR_WINDOW, step
 def fitted(windowed: DataFrame, track: str) -> DataFrame:
     """Least squares of each window: period, origin, its span and the median and 95th percentile of the errors."""
     key = [track, *(["size"] if "size" in windowed.columns else []), "start"]
-    line = windowed.groupBy(*key).agg(F.regr_slope("t", "x").alias("period"), F.regr_intercept("t", "x").alias("origin"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    own = Window.partitionBy(*key)  # the windows move once: the line by a window function, the rest by an aggregate on the same keys
+    rows = windowed.withColumns({"period": F.regr_slope("t", "x").over(own), "origin": F.regr_intercept("t", "x").over(own)})
     err = F.abs(F.col("t") - F.col("origin") - F.col("period") * F.col("x"))
-    errors = windowed.join(line, key).groupBy(*key).agg(F.percentile(err, 0.5).alias("median_error"), F.percentile(err, 0.95).alias("p95_error"))
-    return line.join(errors, key).where("period > 0").withColumns({"bpm": 60.0 / F.col("period"), "span": F.col("hi") - F.col("lo")})
+    out = rows.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in ("period", "origin")], F.min("t").alias("lo"), F.max("t").alias("hi"), F.percentile(err, 0.5).alias("median_error"), F.percentile(err, 0.95).alias("p95_error")
+    )
+    return out.where("period > 0").withColumns({"bpm": 60.0 / F.col("period"), "span": F.col("hi") - F.col("lo")})
 
 
 def anchored(fits: DataFrame, track: str, low: float = MIN_BPM, high: float = MAX_BPM) -> DataFrame:

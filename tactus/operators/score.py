@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.functions import grid as g
@@ -31,6 +31,16 @@ def reduce_grids(beats: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def gap_rulers(beats: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, period): the upper median of each key's positive beat gaps in seconds, null without one. Gaps are ranked, not
+    listed, so a long track is no long row."""
+    own = Window.partitionBy(*keys)
+    gap = (F.col("ms") - F.lag("ms").over(own.orderBy("ms", "ord"))) / F.lit(1000.0)
+    rows = beats.select(*keys, "ms", "ord").withColumn("_gap", gap).withColumn("_gap", F.when(F.col("_gap") > 0, F.col("_gap")))
+    rows = rows.withColumns({"_r": F.row_number().over(own.orderBy(F.col("_gap").asc_nulls_last())), "_n": F.count("_gap").over(own)})
+    return rows.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_gap"))).alias("period"))
+
+
 def score(pairs: DataFrame) -> DataFrame:
     """``pairs`` has ref_ and got_ bpm, downbeat_ms and bar, and may have got_gap; adds bpm_delta, phase_beats, bars, pass
     and class.

@@ -97,8 +97,7 @@ def grid_score_report(spark, sf):
 l AS (SELECT track, provider, list_sort(list(d) FILTER (d > 0)) AS ds FROM s GROUP BY 1, 2)
 SELECT track, provider, round(ds[len(ds) // 2 + 1], 6) AS period FROM l""")
 def grid_period_ruler(spark, sf):
-    listed = beats(spark, sf).groupBy("track", "provider").agg(F.array_sort(F.collect_list(F.struct("ms", "ord"))).alias("b"))
-    return listed.select("track", "provider", F.round(g.upper_median(g.gaps(F.col("b"))), 6).alias("period"))
+    return score.gap_rulers(beats(spark, sf), ["track", "provider"]).select("track", "provider", F.round("period", 6).alias("period"))
 
 
 @query(f"WITH {B} SELECT track, provider, coalesce(min(ms) FILTER (n = 1), min(ms)) AS first_downbeat_ms FROM b GROUP BY 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tactus.functions import rows as R
-from tactus.operators import reports, score
+from tactus.operators import catalog, reports, score
 from tactus.plans.grids import G, S, _legs, _pairs, beats, query, read
 from tactus.sources import codecs
 
@@ -103,3 +103,36 @@ def section_waveforms(spark, sf):
     waves = codecs.waveforms(found)
     out = waves.join(codecs.band_scales(found), "path")
     return out.select(F.col("path").cast("long").alias("vec_id"), "fourcc", F.col("entry_bytes").cast("long").alias("entry_bytes"), F.col("entries").cast("long").alias("entries"), F.col("rate").cast("long").alias("rate"), F.octet_length("data").alias("bytes"), "low", "high")
+
+
+@query("SELECT p_partkey, p_partkey % 3 <> 2 AND p_name <> '' AS same FROM part")
+def name_prefix_found(spark, sf):
+    """Names against their own first letters in capitals, against longer ones, and against others."""
+    rows, k, name = read(spark, sf, "part", "p_partkey", "p_name"), F.col("p_partkey"), F.col("p_name")
+    asked = F.when(k % 3 == 0, F.upper(F.substring(name, 1, 5))).when(k % 3 == 1, F.concat(F.lit(" "), name, F.lit(" and more"))).otherwise(F.concat(F.lit("~"), name))
+    return rows.select("p_partkey", catalog.prefix_match(name, asked).alias("same"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 0 ELSE round((c_custkey % 1000) / CAST(1000 AS DOUBLE), 6) END AS seconds FROM customer")
+def start_times(spark, sf):
+    k = F.col("c_custkey")
+    printed = F.when(k % 3 == 0, F.when(k % 2 == 0, "N/A\n").otherwise("")).otherwise(F.format_string("%.6f,\n", k % 1000 / 1000.0))
+    return read(spark, sf, "customer", "c_custkey").select("c_custkey", codecs.start_time(printed).alias("seconds"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN 1 + s_suppkey % 5 END AS frames, CASE WHEN s_suppkey % 4 <> 0 THEN 50 * (1 + s_suppkey % 5) END AS duration_ms, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(23 * (1 + s_suppkey % 5) AS DOUBLE) END AS total,
+  s_suppkey % 4 = 0 AS bad FROM supplier""")
+def feature_files(spark, sf):
+    """Feature files of ones built of the table's numbers, and read; every fourth lacks its last byte."""
+    k = F.col("s_suppkey")
+    frames = 1 + k % 5
+
+    def little(x, size: int):
+        return F.rpad(F.lpad(F.hex(x), 2, "0"), 2 * size, "0")  # numbers below 256
+
+    head = F.concat(F.lit("444337460100"), little(F.lit(20), 2), little(frames, 4), little(F.lit(3), 1), little(F.lit(20), 1), F.lit("0000"), little(50 * frames, 4), F.lit("AB" * 32), F.lit("00" * 12))
+    content = F.unhex(F.concat(head, F.repeat(F.lit("003C"), (23 * frames).cast("int"))))
+    cut = F.when(k % 4 == 0, F.substring(content, F.lit(1), F.octet_length(content) - 1)).otherwise(content)
+    found = codecs.read_features(read(spark, sf, "supplier", "s_suppkey").select(k.cast("string").alias("path"), cut.alias("content")))
+    total = F.aggregate(F.flatten("values"), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select(F.col("path").cast("long").alias("s_suppkey"), F.col("frames").cast("long").alias("frames"), "duration_ms", total.alias("total"), F.col("error").isNotNull().alias("bad"))
