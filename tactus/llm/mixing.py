@@ -12,8 +12,9 @@ Sources of one share have the same windows, so a slot compares shares, not sourc
 All documents keep their place in the order; none is dropped or repeated. Once a source runs out, its slots stay empty.
 
 Edge cases: a null source is a source of its own; a source without a weight, or a weight at or below zero, is an
-error; numbering inside a source goes by key bucket, key and text hash, so repeated rows stand side by side; an empty
-table gives an empty result.
+error; numbering inside a source goes by key bucket, key and text hash, so repeated rows stand side by side; texts of any
+length count as one row and only their hash is scheduled; columns of any name pass through in ``row``; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -110,9 +111,18 @@ def period_schedule(share_table: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(named), "i").select("_key", "share", "period", "_turn", "slot")
 
 
-def scheduled(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` in a column ``row`` with share, period, block, place (within the block), slot, release and deadline."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _source_key(source).alias("_key"), bucket_of(F.col(key)).alias("_bucket"), F.col(key).alias("_id"), F.xxhash64(no_null("text")).alias("_h"))
+def text_hash() -> Column:
+    return F.xxhash64(no_null("text"))
+
+
+def scheduled(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, tie: Column | None = None) -> DataFrame:
+    """``docs`` in a column ``row`` with share, period, block, place (within the block), slot, release and deadline.
+
+    All columns of ``docs`` are moved, so give it those that are needed; rows of one key go by ``tie``, the hash of ``text``
+    if none is given.
+    """
+    tie = text_hash() if tie is None else tie
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _source_key(source).alias("_key"), bucket_of(F.col(key)).alias("_bucket"), F.col(key).alias("_id"), tie.alias("_h"))
     rows = numbered(rows, "_key", [F.col("_id"), F.col("_h")], "_number").withColumn("block", F.expr(f"_number div {block_rows}"))
     plan = period_schedule(shares(docs, source, weights, block_rows))
     share = plan.select("_key", "share", "period").distinct()
@@ -147,8 +157,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, slot and window, under temperature weights of its source."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    return scheduled(docs).select("row.doc_id", "row.source", "share", "period", "block", "place", "slot", "release", "deadline")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).select("doc_id", "source", text_hash().alias("tie"))
+    return scheduled(docs, tie=F.col("tie")).select("row.doc_id", "row.source", "share", "period", "block", "place", "slot", "release", "deadline")
 
 
 #: The schedule of a period by recursion over its slots.
