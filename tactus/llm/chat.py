@@ -9,7 +9,9 @@ and splits every control string, so no text can forge a mark and reading back gi
 Everything of a conversation meets in one row, as its rendered text must; nothing else is gathered.
 
 Edge cases: null texts are empty; a null role reads back as ''; roles other than plain words are written in hex; rows
-of equal turn go by sequence, role and text, and repeated rows are repeated turns; a delta, edit or regeneration
+of equal turn go by sequence, role and text, and repeated rows are repeated turns; a message has the last role that any of
+its events names, so edits and regenerations may leave it out; texts of any length are rendered whole; other columns, whatever
+their names, are not read; a delta, edit or regeneration
 without a message before it opens one; null conv_ids form one conversation; an empty log gives no rows.
 """
 
@@ -57,9 +59,11 @@ def fold(log: DataFrame) -> DataFrame:
         }
     )
     last = F.max("version").over(Window.partitionBy("conv_id", "turn", "message"))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
-    final = events.withColumn("_last", last).where("version = _last").groupBy("conv_id", "turn", "message")
-    return final.agg(F.min_by("role", "place").alias("role"), F.array_join(pieces, "").alias("text"))
+    text = F.when(F.col("version") == F.col("_last"), F.struct("place", "text"))  # null otherwise: not collected
+    pieces = F.transform(F.array_sort(F.collect_list(text)), lambda x: x["text"])
+    named = F.when(F.col("role").isNotNull(), F.col("place"))
+    final = events.withColumn("_last", last).groupBy("conv_id", "turn", "message")
+    return final.agg(F.max_by("role", named).alias("role"), F.array_join(pieces, "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
