@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tactus.operators import protocol, store
 from tactus.plans.grids import query, read
+from tactus.sources import catalogs
 
 
 @query("""SELECT user_id AS batch, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
@@ -71,3 +72,29 @@ def rows_stamped(spark, sf):
     rows = read(spark, sf, "customer", "c_custkey", "c_name").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("old").alias("content_revision"))
     target = spark.createDataFrame([], "id long, name string, tempo long, content_revision string, audio_revision string, artwork_revision string").schema
     return store.stamped(store.insertable(rows, "tracks", target), "tracks", "tok")
+
+
+@query("SELECT CAST(o_custkey % 50 AS VARCHAR) AS path, count(*) AS tracks, count(DISTINCT o_orderkey) AS ids, CAST(sum(o_orderkey % 1000) AS BIGINT) AS tempos, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")
+def catalog_round_trip(spark, sf):
+    """Fifty catalogs written as SQLite files, and read back."""
+    rows = read(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    tracks = rows.select((F.col("o_custkey") % 50).cast("string").alias("path"), F.col("o_orderkey").alias("_row"), F.col("o_orderkey").cast("string").alias("uuid"), F.col("o_orderstatus").alias("genre"), (F.col("o_orderkey") % 1000).alias("tempo"))
+    found = catalogs.read_table(catalogs.write_files({"tracks": tracks}), "tracks", tracks.drop("path", "_row").schema)
+    return found.groupBy("path").agg(F.count("*").alias("tracks"), F.count_distinct("uuid").alias("ids"), F.sum("tempo").alias("tempos"), F.count_distinct("genre").alias("kinds"))
+
+
+@query("""WITH a AS (SELECT l_orderkey % 97 AS path, l_partkey AS id, l_linenumber AS row, l_suppkey % 20 AS provider, l_returnflag AS version, l_quantity AS q, l_orderkey FROM lineitem),
+e AS (SELECT * FROM a WHERE l_orderkey % 3 = 0), i AS (SELECT * FROM a WHERE l_orderkey % 3 = 1),
+f AS (SELECT path, count(*) AS fresh FROM i WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.path = i.path AND e.provider = i.provider AND e.version = i.version) GROUP BY 1)
+SELECT CAST(e.path AS VARCHAR) AS path, count(*) + coalesce(any_value(fresh), 0) AS analyses, CAST(max(id) + coalesce(any_value(fresh), 0) AS BIGINT) AS top, count(*) AS selected FROM e LEFT JOIN f ON f.path = e.path GROUP BY 1""")
+def catalog_merged(spark, sf):
+    """Analyses of one part of the lines merged into catalogs of another."""
+    rows = read(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    made = rows.select(
+        "l_orderkey", (F.col("l_orderkey") % 97).cast("string").alias("path"), F.col("l_linenumber").cast("long").alias("_row"), F.col("l_partkey").alias("id"),
+        (F.col("l_suppkey") % 20).cast("string").alias("provider"), F.col("l_returnflag").alias("version"), F.lit(1).cast("long").alias("selected"), F.lit("t").alias("track_uuid"),
+    )
+    old, new = (made.where(f"l_orderkey % 3 = {k}").drop("l_orderkey") for k in (0, 1))
+    tracks = old.select("path", F.lit(1).alias("_row"), F.lit("t").alias("uuid")).distinct()
+    out = catalogs.merged({"tracks": tracks, "analyses": old}, {"analyses": new})["analyses"]
+    return out.groupBy("path").agg(F.count("*").alias("analyses"), F.max("id").alias("top"), F.sum("selected").alias("selected"))
