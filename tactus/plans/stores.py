@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tactus.functions import settings
 from tactus.operators import protocol, store
 from tactus.plans.grids import query, read
 from tactus.sources import catalogs
@@ -98,3 +99,14 @@ def catalog_merged(spark, sf):
     tracks = old.select("path", F.lit(1).alias("_row"), F.lit("t").alias("uuid")).distinct()
     out = catalogs.merged({"tracks": tracks, "analyses": old}, {"analyses": new})["analyses"]
     return out.groupBy("path").agg(F.count("*").alias("analyses"), F.max("id").alias("top"), F.sum("selected").alias("selected"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 OR k NOT BETWEEN 1 AND 16 THEN 4 ELSE k END AS bar, CAST(CASE WHEN event_id % 3 = 0 THEN k ELSE 110 END AS DOUBLE) AS low, 130 + 0.0::DOUBLE AS high, event_id % 5 <> 0 AS arbitrate
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e""")
+def settings_resolved(spark, sf):
+    """Documents made of the events' numbers: some meters as text, some tempos missing."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = read(spark, sf, "events", "event_id", "props").withColumn("k", k)
+    given = F.struct(F.when(F.col("event_id") % 4 != 0, F.col("k")).alias("beats_per_bar"), F.when(F.col("event_id") % 3 == 0, F.col("k")).alias("min_bpm"), F.lit("fast").alias("max_bpm"), (F.col("event_id") % 5 != 0).alias("arbitrate"), F.lit(1).alias("other"))
+    s = rows.select("event_id", settings.settings(F.to_json(given)).alias("s"))
+    return s.select("event_id", F.col("s.beats_per_bar").alias("bar"), F.col("s.min_bpm").alias("low"), F.col("s.max_bpm").alias("high"), F.col("s.arbitrate").alias("arbitrate"))

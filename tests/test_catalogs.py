@@ -14,7 +14,7 @@ def tables(spark):
     return {
         "beats": spark.createDataFrame([("a", 1, 1, "[[1,11700,49]]"), ("a", 2, 2, "[[1,11700,561]]")], "path string, _row long, analysis_id long, beats_json string"),
         "tracks": spark.createDataFrame([("a", 1, "t1", "Alive", 11700), ("b", 1, "t2", None, None)], "path string, _row long, uuid string, title string, tempo long"),
-        "analyses": spark.createDataFrame([("a", 1, 1, "t1", "rekordbox", "6", 0), ("a", 2, 2, "t1", "deadca7", "1", 1)], ANALYSES),
+        "analyses": spark.createDataFrame([("a", 1, 1, "t1", "rekordbox", "6", 0), ("a", 2, 2, "t1", "house", "1", 1)], ANALYSES),
         "waveforms": spark.createDataFrame([("a", 1, 1, bytearray(400))], "path string, _row long, analysis_id long, data binary"),
         "catalogs": spark.createDataFrame([("a", 1, "main"), ("a", 2, "corpus")], "path string, _row long, kind string"),
     }
@@ -58,7 +58,7 @@ def test_version_gate(spark):
 def test_merge_with_children(spark):
     made = tables(spark)
     incoming = {
-        "analyses": spark.createDataFrame([("a", 1, 7, "x", "rekordbox", "7", 1), ("a", 2, 8, "x", "rekordbox", "6", 1), ("b", 1, 1, "x", "beatnet", None, 1), ("c", 1, 1, "x", "p", "1", 1)], ANALYSES),
+        "analyses": spark.createDataFrame([("a", 1, 7, "x", "rekordbox", "7", 1), ("a", 2, 8, "x", "rekordbox", "6", 1), ("b", 1, 1, "x", "leg", None, 1), ("c", 1, 1, "x", "p", "1", 1)], ANALYSES),
         "cues": spark.createDataFrame([("a", 1, 7, 10), ("a", 2, 8, 20), ("b", 1, 1, 30)], "path string, _row long, analysis_id long, time_ms long"),
         "beats": spark.createDataFrame([("a", 1, 7, "[[1,11700,49],[2,11700,561]]")], "path string, _row long, analysis_id long, beats_json string"),
         "catalogs": spark.createDataFrame([("a", 1, "main"), ("a", 2, "devicelib"), ("b", 1, "devicelib")], "path string, _row long, kind string"),
@@ -66,7 +66,7 @@ def test_merge_with_children(spark):
     }
     out = C.merged(made, incoming)
     rows = {(r["path"], r["provider"], r["version"]): (r["id"], r["track_uuid"], r["selected"]) for r in out["analyses"].collect()}
-    assert rows == {("a", "rekordbox", "6"): (1, "t1", 0), ("a", "deadca7", "1"): (2, "t1", 1), ("a", "rekordbox", "7"): (3, "t1", 0), ("b", "beatnet", None): (1, "t2", 0)}
+    assert rows == {("a", "rekordbox", "6"): (1, "t1", 0), ("a", "house", "1"): (2, "t1", 1), ("a", "rekordbox", "7"): (3, "t1", 0), ("b", "leg", None): (1, "t2", 0)}
     assert sorted((r["path"], r["analysis_id"], r["time_ms"]) for r in out["cues"].collect()) == [("a", 3, 10), ("b", 1, 30)]
     assert sorted((r["analysis_id"], r["_row"]) for r in out["beats"].collect()) == [(1, 1), (2, 2), (3, 3)]
     assert sorted((r["path"], r["kind"]) for r in out["catalogs"].collect()) == [("a", "corpus"), ("a", "devicelib"), ("b", "devicelib")]
