@@ -32,11 +32,16 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], id_column:
 
 
 def renumbered(rows: DataFrame, order: list[str], step: int = 4096) -> DataFrame:
-    """``rows`` with ``_place``: 1, 2, 3 ... by ``order``, whose first column is an integer that ranges are cut from."""
+    """``rows`` with ``_place``: 1, 2, 3 ... by ``order``, whose first column is an integer that ranges are cut from.
+
+    Ranges are counted inside blocks of ``step`` ranges and blocks among themselves, so only blocks meet in one task.
+    """
     ranged = rows.withColumn("_range", F.floor(F.col(order[0]) / step))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_range") / step))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each step * step numbers in use
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_inside", inside).join(blocks, "_block").select("_range", (F.col("_base") + F.col("_inside")).alias("_start"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn("_in", within).join(starts, "_range").withColumn("_place", F.col("_start") + F.col("_in")).drop("_range", "_start", "_in")
 

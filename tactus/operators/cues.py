@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Beats of a bar, and how many cues each layout takes.
@@ -28,20 +28,21 @@ def phrases(curve: DataFrame, track: str, bars: int = 8) -> DataFrame:
     return starts.withColumns({"place": F.row_number().over(Window.partitionBy(track).orderBy("i")), "total": F.count("*").over(Window.partitionBy(track))})
 
 
-def _ranked(rows: DataFrame, track: str, most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(track).orderBy(F.desc("novelty"), "i"))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+def _best(track: str, among: Column, most: int) -> Column:
+    """Whether a row is one of the ``most`` novel of its track's rows for which ``among`` holds; equals by the earlier."""
+    rank = F.row_number().over(Window.partitionBy(track).orderBy(F.desc(among), F.desc("novelty"), "i"))
+    return among & (rank <= most)
 
 
 def picked(candidates: DataFrame, track: str, kind: str) -> DataFrame:
     """``novelty``: the eight most novel; ``mix``: four of the first third and four of the last. Slots in time order."""
     if kind == "novelty":
-        chosen = _ranked(candidates, track, CUES)
+        marked = candidates.withColumn("_taken", _best(track, F.lit(True), CUES))
     else:
         third = F.greatest(F.lit(1), F.floor(F.col("total") / 3))
-        front = _ranked(candidates.where(F.col("place") <= third), track, FRONT)
-        back = _ranked(candidates.where(F.col("place") > F.col("total") - third), track, BACK)
-        chosen = front.union(back).distinct()
+        marked = candidates.withColumns({"_front": F.col("place") <= third, "_back": F.col("place") > F.col("total") - third})
+        marked = marked.withColumns({"_a": _best(track, F.col("_front"), FRONT), "_b": _best(track, F.col("_back"), BACK)}).withColumn("_taken", F.col("_a") | F.col("_b"))
+    chosen = marked.where("_taken")
     slot = F.row_number().over(Window.partitionBy(track).orderBy("i"))
     return chosen.select(track, slot.alias("slot"), "i", F.floor(F.col("i") / BAR_BEATS).alias("bar"))
 
