@@ -45,9 +45,9 @@ def tempo_by_gaps(spark, sf):
     return _rounded(T.gap_period(paced(spark, sf), "track"), ["track", "beats"], period=6, bpm=4)
 
 
-@query(f"WITH {P} SELECT track, round(consensus, 6) AS consensus FROM c")
+@query(f"WITH {P} SELECT track, round(consensus, 7) AS consensus FROM c")
 def tempo_consensus(spark, sf):
-    return _rounded(T.consensus(paced(spark, sf), "track"), ["track"], consensus=6)
+    return _rounded(T.consensus(paced(spark, sf), "track"), ["track"], consensus=7)
 
 
 @query(f"WITH {W} SELECT track, start, round(period, 6) AS period, round(origin, 6) AS origin, round(spread, 6) AS spread, round(drift, 6) AS drift FROM d")
