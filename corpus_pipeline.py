@@ -3,6 +3,11 @@
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and
 ``mix`` also each one's position, by which the last sorts its rows.
 ``run`` writes each stage's rows to the shared folder and reads them again, so a lost executor costs one stage at most.
+
+Edge cases, for every stage: a null text counts as empty and stays null where rows go on; ids may be null or repeat; rows that
+repeat wholly are one group of copies; ties go to the least doc_id, then the least text hash; texts of any length are read
+whole; further columns, whatever their names, go on up to ``mix`` (the last stage returns its own columns); an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
