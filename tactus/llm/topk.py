@@ -5,7 +5,7 @@ tree's levels halve: the centres of a level lie farther apart than its radius, e
 and a level's centres are also those of the level below. Farthest-first traversal yields all levels at once, as its gaps
 never grow. A node keeps the distance to its farthest member as covering radius.
 
-The top of one tree, built over at most SAMPLE entries by a hash, gives centres; every entry and every query goes to its
+The top of one tree, built over about SAMPLE entries by a hash, gives centres; every entry and every query goes to its
 nearest one, and a centre's entries are dealt to parts of about PART. A query is first searched in the parts of its own
 centre. With the kth score found there it goes only to the parts of those centres whose covering radius lets a product
 reach it, so what is sent follows from the bounds and not from the number of parts.
@@ -47,7 +47,7 @@ PART = 8192
 GROUP = 2048
 #: Centres of a tree for each so many points, one more; what lies below them are leaves.
 LEAF = 48
-#: Entries that the top of the tree is built over, and the most centres taken from it.
+#: About so many entries (at most twice as many) are what the top of the tree is built over, and the most centres taken from it.
 SAMPLE = 8192
 MOST_CENTRES = 1024
 LIMIT = 2**63 - 1
@@ -114,10 +114,10 @@ def cover_tree(points: np.ndarray) -> Node:
 
 class Search:
     """The best ``k`` entries for a group of queries: scores falling, then ids rising. Entries below a query's ``floor``
-    need not be found."""
+    need not be found; scores beyond ``limit`` on either side count as it."""
 
-    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
-        self.queries, self.k, self.tree = queries, k, cover_tree(queries)
+    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None, limit: int | None = None):
+        self.queries, self.k, self.tree, self.limit = queries, k, cover_tree(queries), limit
         self.scores = np.full((len(queries), k), -np.inf)
         self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         self.ids = np.full((len(queries), k), LIMIT)
@@ -129,6 +129,9 @@ class Search:
         self.exact_floats = big < 2**53
         self._pair(self.tree, tree, np.inf)
 
+    def _within(self, score: int) -> int:
+        return score if self.limit is None else max(-self.limit, min(self.limit, score))
+
     def _least(self, rows: np.ndarray) -> np.ndarray:
         return np.maximum(self.scores[rows, -1].astype(float), self.floor[rows])
 
@@ -151,7 +154,7 @@ class Search:
             scores = self.queries[rows] @ self.points[members].T
         else:
             whole = [[int(v) for v in p] for p in self.points[members]]
-            scores = np.array([[max(-LIMIT, min(LIMIT, sum(int(a) * b for a, b in zip(q, p)))) for p in whole] for q in self.queries[rows]], object)
+            scores = np.array([[self._within(sum(int(a) * b for a, b in zip(q, p))) for p in whole] for q in self.queries[rows]], object)
         # a floor is a float: beyond 2^53 it may be a little above the score it stands for
         better = (scores.astype(float) >= self._least(rows)[:, None] * (1 if self.exact_floats else 1 - 1e-12 * np.sign(self._least(rows))[:, None])).any(axis=1)
         if not better.any():
@@ -201,7 +204,7 @@ class Centres:
         at = 0
         for n in sorted({len(v) for v in sample}):
             own = np.array([v for v in sample if len(v) == n])
-            chosen = own[nets(own, max(1, most * len(own) // len(sample)))[-1][1]]
+            chosen = own[nets(own, max(1, most * len(own) // max(1, len(sample))))[-1][1]]
             self.by_length[n] = at, chosen
             at += len(chosen)
         self.parts, self.radius = np.ones(at + 1, np.int64), np.zeros(at + 1)
@@ -263,7 +266,7 @@ def _search(k: int):
                     continue
                 points, first, ids, tree = held[dim]
                 own = [(key, v, floor) for key, v, floor in queries if len(v) == dim]
-                search = Search(np.array([v for _, v, _ in own]), k + 1, np.array([-np.inf if f is None else f for _, _, f in own]))
+                search = Search(np.array([v for _, v, _ in own]), k + 1, np.array([-np.inf if f is None else f for _, _, f in own]), LIMIT)
                 search.run(points, first, tree)
                 out = [(key, int(s), ids[a]) for (key, _, _), at, scores in zip(own, search.at, search.scores) for a, s in zip(at, scores) if a >= 0]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(OUT.types)], schema=OUT)
@@ -313,8 +316,10 @@ def _homes(rows: DataFrame, centres: Centres) -> DataFrame:
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``rows`` but itself for each of ``queries``, both (vec_id, v)."""
     entries = written(_entries(rows, k), "entries")
-    sample = [np.array(r["v"]) for r in entries.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()]
-    centres = Centres(sample, max(1, min(MOST_CENTRES, -(-entries.count() // PART))))
+    size = entries.count()
+    some = entries.select("v").where(F.pmod(F.xxhash64("v"), F.lit(-(-size // SAMPLE) or 1)) == 0)  # about SAMPLE rows
+    sample = [np.array(r["v"]) for r in some.limit(2 * SAMPLE).collect()]
+    centres = Centres(sample, max(1, min(MOST_CENTRES, -(-size // PART))))
     homed = written(_homes(entries, centres), "entry-homes")
     centres.dealt(homed.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect())  # one row for each centre
     asked = queries.select("vec_id", F.col("v"), F.xxhash64("v").alias("hash"))
