@@ -368,6 +368,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(sign, toxic, text) of at most MAX_LABELLED different texts of labelled documents outside the held-out fold."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = MAX_LABELLED / max(1, marked.count())
+    if share < 1:  # by hash first: a limit alone would bring so many rows of every partition together
+        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     marked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
     sign = let(F.split(F.lower(no_null("text")), r"\s+"), lambda words: F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))))
     rows = docs.join(marked, "doc_id").select("toxic", no_null("text").alias("text")).withColumn("sign", sign)

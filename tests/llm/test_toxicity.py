@@ -62,10 +62,10 @@ def test_two_clean_words_can_be_an_insult():
 
 
 def labelled(spark, tmp, copies=1):
-    rows, labels = [], []
+    rows, labels, rng = [], [], np.random.default_rng(8)
     for i in range(600):
         toxic = i % 5 == 1
-        words = [CLEAN[(i * 7 + k * k) % len(CLEAN)] + str(i * k % 9) for k in range(12)]
+        words = [CLEAN[rng.integers(len(CLEAN))] + str(rng.integers(1000)) for _ in range(12)]  # no two texts share a sign
         rows += [(i, " ".join(words[:6]) + ". " + f"You {MARKS[i % 6] if toxic else CLEAN[i % 9]} are bad. " + " ".join(words[6:]))] * (copies if toxic else 1)
         labels.append((i, int(toxic)))
     rows += [(None, "you idiot"), (1000, None), (1001, ""), (1002, "x" * 3_000_000), (1003, "the river " * 300_000 + "you idiot"), (1004, "..!? 12"), (1000, None)]
