@@ -4,7 +4,9 @@
 rule a text breaks. Everything is a built-in expression over one row, so the operator needs no shuffle and no state.
 
 Edge cases: a null text counts as empty; an empty text has zeros everywhere and fails; rows are judged one by one, so
-repeated rows get equal results; any further columns pass through ``kept_only`` untouched.
+repeated rows get equal results; of several rules that a text breaks the first of the table is named; texts of any length
+are judged whole; any further columns, also those named like a measure, pass through ``kept_only`` untouched; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ draw takes the record. Draws of the old shards do not change when a shard is add
 one, about its share of them. Only the key and the list of shards decide.
 
 Edge cases: a null key is the key ''; rows with equal keys share a shard; a null text has no bytes and CRC 0; an empty
-table gives an empty result. ``slot`` numbers the rows of a shard without gaps from 0, by key bucket, key and CRC.
+table gives an empty result. ``slot`` numbers the rows of a shard without gaps from 0, by key bucket, key and CRC. Equal draws
+go to the smaller shard; texts of any length count by their bytes and are not moved; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
