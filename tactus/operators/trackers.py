@@ -1,18 +1,25 @@
 """A track's tempo from its beats: bounded medians, lattices refined in rounds, phases, strengths and the grid laid from them.
 
-Rounds are window functions over one partitioning of the beats, so a track moves once however many rounds there are.
+Rounds run over one partitioning of the beats (a lattice's on a window's beats as an array), so a track moves once however
+many rounds there are. Lattices and origins add their beats in the order of i: sums in the order of arrival differ in the last
+bits from run to run, which shows where a figure lies on the half of its last kept decimal.
 Beats are rows (track, i, t) with t in seconds and i from 0; ``np.round`` and ``round`` are halves to even, as ``rint`` is.
 """
 
 from __future__ import annotations
 
+from math import fma, nan, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tactus.operators.lattice import MAX_BPM, MIN_BPM, residual
 
 #: Windows of a lattice and their step, rounds of a fit, and the largest drift from the consensus.
 WINDOW, STEP, ROUNDS, DRIFT = 64, 32, 3, 0.02
+#: Decimals of a spread beyond which windows are equal: spreads of like windows hours apart differ by the rounding of their times.
+ALIKE = 10
 #: Seconds within which a residual counts for the origin, and how many must.
 INLIER, INLIERS = 0.05, 16
 #: Least distance of chosen phases, share of residuals that counts, seconds of drift that a simple tempo may cost.
@@ -45,6 +52,42 @@ def _off(t: Column, origin: Column, period: Column) -> Column:
     return t - (origin + F.rint((t - origin) / period) * period)
 
 
+@F.udf(StructType([StructField(c, DoubleType()) for c in ("period", "origin", "spread")]), useArrow=True)
+def _lattice(times: list[float | None], period: float | None) -> tuple[float | None, float | None, float | None]:
+    """The lattice of a window's beats from a first period, by ROUNDS lines; nulls without a line, NaN where a beat is not finite."""
+
+    def line(xs: list[float], ts: list[float]) -> tuple[float | None, float | None]:
+        """Least squares in one pass, by the steps of DuckDB's regr_slope and regr_intercept: products are added unrounded."""
+        n = mx = mt = xt = xx = sx = st = 0.0
+        for x, t in zip(xs, ts):
+            n, dx = n + 1, x - mx
+            mx, mt = mx + dx / n, mt + (t - mt) / n
+            xt, xx = fma(dx, t - mt, xt), fma(x - mx, dx, xx)
+            sx, st = sx + x, st + t
+        if not xx:
+            return None, None
+        slope = (xt / n) / (xx / n)
+        return slope, fma(-slope, sx / n, st / n)
+
+    origin, own = times[0], [t for t in times if t is not None]
+    try:
+        for _ in range(ROUNDS):
+            if not period or origin is None:
+                return None, None, None
+            period, origin = line([float(round((t - origin) / period)) for t in own], own)
+        if not period:
+            return period, origin, None
+        n = mean = square = 0.0
+        for t in own:
+            off = t - (origin + round((t - origin) / period) * period)
+            n, d = n + 1, off - mean
+            mean += d / n
+            square = fma(off - mean, d, square)
+        return period, origin, sqrt(square / n)
+    except (OverflowError, ValueError):  # of round and fma
+        return nan, nan, nan
+
+
 def fit_windows(beats: DataFrame, track: str) -> DataFrame:
     """(track, start, period, origin, spread, drift) of each window of WINDOW beats, STEP apart, or of a shorter track.
 
@@ -56,13 +99,9 @@ def fit_windows(beats: DataFrame, track: str) -> DataFrame:
     starts = F.filter(F.transform(F.sequence(low, F.greatest(low, F.floor(F.col("i") / STEP))), lambda k: k * STEP), lambda s: (s <= F.col("i")) & (s <= F.col("_n") - size))
     rows = beats.withColumn("_n", F.count("*").over(Window.partitionBy(track))).join(consensus(beats, track), track)
     rows = rows.select(track, "i", "t", "consensus", F.explode(starts).alias("start"))
-    own = Window.partitionBy(track, "start")
-    rows = rows.withColumns({"period": F.col("consensus"), "origin": F.min_by("t", "i").over(own)})
-    for _ in range(ROUNDS):
-        rows = rows.withColumn("_x", F.rint((F.col("t") - F.col("origin")) / F.col("period")))
-        rows = rows.withColumns({"period": F.regr_slope("t", "_x").over(own), "origin": F.regr_intercept("t", "_x").over(own)})
-    rows = rows.withColumn("_off", _off(F.col("t"), F.col("origin"), F.col("period")))
-    out = rows.groupBy(track, "start").agg(*[F.first(c).alias(c) for c in ("period", "origin", "consensus")], F.stddev_pop("_off").alias("spread"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda b: b["t"])
+    rows = rows.groupBy(track, "start").agg(F.first("consensus").alias("consensus"), own.alias("_t")).withColumn("_fit", _lattice("_t", "consensus"))
+    out = rows.select(track, "start", "_fit.period", "_fit.origin", "consensus", "_fit.spread")
     return out.withColumn("drift", F.abs(F.col("period") - F.col("consensus")) / F.col("consensus"))
 
 
@@ -70,17 +109,18 @@ def fit_lattice(beats: DataFrame, track: str) -> DataFrame:
     """Each track's window of least spread among those that drift little, else the one that drifts least; equals by the
     earliest."""
     near = F.col("drift") <= DRIFT
-    rank = Window.partitionBy(track).orderBy(~near, F.when(near, F.col("spread")).otherwise(F.col("drift")), "start")
+    rank = Window.partitionBy(track).orderBy(~near, F.when(near, F.round("spread", ALIKE)).otherwise(F.col("drift")), "start")
     return fit_windows(beats, track).withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
 
 
 def refit_origin(beats: DataFrame, lattices: DataFrame, track: str) -> DataFrame:
     """``lattices`` with refit: the origin moved by the mean residual of the beats near a line, of all if these are few."""
     off = _off(F.col("t"), F.col("origin"), F.col("period"))
-    rows = beats.select(track, "t").join(lattices.select(track, "origin", "period"), track).withColumn("_off", off)
-    near = F.abs("_off") < INLIER
-    mean = F.when(F.count_if(near) >= INLIERS, F.avg(F.when(near, F.col("_off")))).otherwise(F.avg("_off"))
-    return lattices.join(rows.groupBy(track).agg(mean.alias("_mean")), track).withColumn("refit", F.col("origin") + F.col("_mean")).drop("_mean")
+    rows = beats.select(track, "i", "t").join(lattices.select(track, "origin", "period"), track).withColumn("_off", off)
+    near, own = F.abs("_off") < INLIER, Window.partitionBy(track).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mean = F.when(F.count_if(near).over(own) >= INLIERS, F.avg(F.when(near, F.col("_off"))).over(own)).otherwise(F.avg("_off").over(own))
+    moved = rows.withColumn("_mean", mean).groupBy(track).agg(F.first("_mean").alias("_mean"))
+    return lattices.join(moved, track).withColumn("refit", F.col("origin") + F.col("_mean")).drop("_mean")
 
 
 def free_period(beats: DataFrame, periods: DataFrame, track: str) -> DataFrame:

@@ -5,7 +5,7 @@ The stand-in for a track's beats are a user's events in order: one each half sec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.operators import trackers as T
@@ -22,6 +22,12 @@ def _rounded(df: DataFrame, keys: list[str], **places: int) -> DataFrame:
     return df.select(*keys, *[F.round(c, n).alias(c) for c, n in places.items()])
 
 
+def _scaled(c: Column, places: int) -> Column:
+    """``c`` rounded as DuckDB rounds: scaled, to the nearest whole number (halves away from 0) and back. Spark's ``round`` takes the
+    digits as printed instead, which differs for figures within a bit of a half."""
+    return F.round(c * 10.0**places, 0) / 10.0**places
+
+
 P = """p AS (SELECT user_id AS track, r AS i, CAST(0.3 AS DOUBLE) + r * CAST(0.5 AS DOUBLE) + event_id % 41 / CAST(1000 AS DOUBLE) AS t
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events) e),
 c AS (SELECT track, CASE WHEN count(*) > 8 THEN quantile_cont(s, 0.5) FILTER (s > 0.2 AND s < 1.2) ELSE quantile_cont(g, 0.5) END AS consensus
@@ -132,7 +138,7 @@ def grid_laid(spark, sf):
     fits = T.refit_origin(rows, T.fit_lattice(rows, "track"), "track").join(rows.groupBy("track").agg(F.max("t").alias("duration")), "track")
     laid = fits.withColumn("first", T.grid_origin(F.col("refit"), F.col("period")))
     laid = laid.withColumn("g", T.grid_beats(F.col("first"), F.col("period"), F.col("duration")))
-    return laid.select("track", F.round("first", 5).alias("first"), F.size("g").alias("beats"), F.round(F.element_at("g", -1), 5).alias("last"))
+    return laid.select("track", _scaled(F.col("first"), 5).alias("first"), F.size("g").alias("beats"), _scaled(F.element_at("g", -1), 5).alias("last"))
 
 
 @query("""SELECT vec_id, round(CAST(embedding[CAST(least(63, round_even(vec_id % 100 / CAST(50 AS DOUBLE) * 50, 0)) AS BIGINT) + 1] AS DOUBLE), 6) AS activation,
