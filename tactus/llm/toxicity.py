@@ -29,11 +29,15 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,20 +58,25 @@ DAMPING = 3.0
 POWER = 3
 SENTENCE = 40
 PART = 24
-#: Margins of words that are remembered, the longest such word, and characters of text handled at a time.
+#: Margins of words that one of two generations remembers, the longest such word, and characters of text handled at a time.
 CACHE = 400_000
 CACHE_CHARS = 48
-GROUP_CHARS = 1 << 20
-#: Parts whose kernel values are computed together.
+GROUP_CHARS = 1 << 22
+#: Parts whose kernel values are computed together, and training texts whose examples are.
 TOGETHER = 2048
+AT_ONCE = 256
 
 _SIGN = re.compile(r"[\W_]+")
 _LONG_RUN = re.compile(r"(.)\1{2,}")
 _BETWEEN = re.compile(r".(.)(?:.\1)+.?")
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: White space of one byte in UTF-8, the signs that end a sentence, and all other white space.
+_SPACE = np.array([9 <= b <= 13 or 28 <= b <= 32 for b in range(256)])
+_STOP = np.array([chr(b) in ".!?" for b in range(256)])
+_WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SIGNS = 32
-#: Middle and last character of a subsequence, counted from its first, and the weight.
-_SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
+#: Middle and last character of a subsequence, counted from its first, and the weight by the last.
+_SHAPES = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
+_WEIGHTS = np.array([DECAY ** (k - 2) for k in range(2, SPAN)])
 
 
 def _alphabet() -> np.ndarray:
@@ -89,15 +98,16 @@ def _subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """(part, subsequence, weight) of all parts, sorted, each with a start mark, and each part's norm."""
     lengths = np.array([len(p) + 1 for p in parts])
     points = np.frombuffer("".join(["^" + p for p in parts]).encode("utf-32-le"), "<u4")
-    x = np.where(points < 1 << 16, _CODES[np.minimum(points, (1 << 16) - 1)], 27).astype(np.int64)
-    of = np.repeat(np.arange(len(parts)), lengths)
-    keys, weights = [], []
-    for j, k, weight in _SHAPES:
-        i = np.flatnonzero(of[k:] == of[:-k]) if len(of) > k else np.zeros(0, np.int64)
-        keys.append(((of[i] * _SIGNS + x[i]) * _SIGNS + x[i + j]) * _SIGNS + x[i + k])
-        weights.append(np.full(len(i), weight))
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    weight = np.bincount(at, np.concatenate(weights), len(key))
+    kind = np.int32 if len(parts) * _SIGNS**3 * len(_WEIGHTS) < 1 << 31 else np.int64
+    x = np.where(points < 1 << 16, _CODES[np.minimum(points, (1 << 16) - 1)], 27).astype(kind)
+    of = np.repeat(np.arange(len(parts), dtype=kind), lengths)
+    first, keys = of * _SIGNS + x, []
+    for j, k in _SHAPES:
+        key = ((first[:-k] * _SIGNS + x[j : j - k]) * _SIGNS + x[k:]) * len(_WEIGHTS) + (k - 2)
+        keys.append(key[of[k:] == of[:-k]])
+    key, weight = np.divmod(np.sort(np.concatenate(keys)), len(_WEIGHTS))  # each with its weight's number
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    key, weight = key[new], np.add.reduceat(_WEIGHTS[weight], new) if len(new) else np.zeros(0)
     part = key // _SIGNS**3
     norm = np.sqrt(DAMPING + np.bincount(part, weight**2, len(parts)))
     return part, key % _SIGNS**3, weight, norm
@@ -110,51 +120,132 @@ def _pieces(items: list | str, most: int) -> list:
     return [items[i : i + most] for i in range(0, len(items) - most // 2, most // 2)]
 
 
+def plain(word: str) -> str:
+    """The word's letters and digits."""
+    word = word.strip(string.punctuation)
+    return word if word.isalnum() else _SIGN.sub("", word)
+
+
 def parts_of(word: str) -> list[str]:
     """What the kernel compares of a word: its letters and digits, in pieces if it is long; also with long runs of a sign
     as one, and without a sign that stands between all others."""
-    plain = word if word.isalnum() else _SIGN.sub("", word)
-    if len(plain) < 2:
+    own = plain(word)
+    if len(own) < 2:
         return []
-    parts = [plain] if len(plain) <= PART else list(dict.fromkeys(_pieces(plain, PART)))
-    if _LONG_RUN.search(plain):
-        parts += _pieces(_LONG_RUN.sub(r"\1", plain), PART)
-    if _BETWEEN.fullmatch(plain):
-        parts += _pieces(plain[::2], PART)
+    parts = [own] if len(own) <= PART else list(dict.fromkeys(_pieces(own, PART)))
+    if _LONG_RUN.search(own):
+        parts += _pieces(_LONG_RUN.sub(r"\1", own), PART)
+    if own[1:2] == own[3:4] and _BETWEEN.fullmatch(own):
+        parts += _pieces(own[::2], PART)
     return parts
 
 
-def _joined(words: list[str], sizes: list[int]) -> list[str]:
-    """Runs of three or more single signs, and pairs of short neighbours, each as one word."""
-    out = [a + b for a, b, m, n in zip(words, words[1:], sizes, sizes[1:]) if m < 4 > n and m + n > 3]
-    if sizes.count(1) > 2:
-        run: list[str] = []
-        for w in [*words, ""]:
-            if len(w) == 1:
-                run.append(w)
-            else:
-                if len(run) > 2:
-                    out.append("".join(run))
-                run = []
-    return out
-
-
-def add_sentences(text: str, flat: list[str], ends: list[int]) -> None:
-    """Appends the distinct words of each sentence, joined ones included, and where each sentence ends."""
-    for line in _END.split(text.lower()):
-        if words := line.split():
-            for piece in _pieces(words, SENTENCE):
-                sizes = list(map(len, piece))
-                flat += dict.fromkeys(piece + _joined(piece, sizes) if min(sizes) < 4 else piece)
-                ends.append(len(flat))
+class Read(NamedTuple):
+    """The sentences of some texts: the distinct words of all, which of them each sentence has, each once and in order,
+    the sentences' bounds in that, and the texts' bounds in the sentences."""
+
+    words: list[str]
+    codes: np.ndarray
+    bounds: np.ndarray
+    texts: np.ndarray
+
+    def sentence(self, i: int) -> list[str]:
+        return [self.words[c] for c in self.codes[self.bounds[i] : self.bounds[i + 1]].tolist()]
+
+
+def read(texts: list[str]) -> Read:
+    """The texts' sentences, which end at a line's end or after a stop; sentences of more than SENTENCE words in pieces.
+    Texts are cut as bytes of one array, so Python sees each distinct word of all texts once."""
+    held = [(x.lower() if x.isascii() else _WIDE_SPACE.sub(" ", x.lower())).encode() for x in texts]
+    data = np.frombuffer(b"\n".join([b"", *held, b""]), np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, behind = edges[::2], edges[1::2]
+    if not len(first):
+        return Read([], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64))
+    offsets = np.concatenate([[0], np.cumsum(behind - first)])
+    found = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]).dictionary_encode()
+    words, sizes = found.dictionary.to_pylist(), pc.utf8_length(found.dictionary).to_numpy()
+    codes = found.indices.to_numpy().astype(np.int64)
+    last = _STOP[data[behind - 1]]
+    ended = np.searchsorted(first, np.flatnonzero(data == 10)) - 1  # the word before each line's end
+    last[ended[ended >= 0]] = True
+    # pieces that overlap by half
+    stop = np.flatnonzero(last) + 1
+    begin, half = np.concatenate([[0], stop[:-1]]), SENTENCE // 2
+    many = np.where(stop - begin <= SENTENCE, 1, -(-(stop - begin - half) // half))
+    begin = np.repeat(begin, many) + half * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    length = np.minimum(np.repeat(stop, many) - begin, SENTENCE)
+    starts = np.cumsum(length) - length
+    piece = np.repeat(np.arange(len(length)), length)
+    codes = codes[np.arange(len(piece)) + np.repeat(begin - starts, length)]
+    ends = np.concatenate([[0], np.cumsum([len(x) + 1 for x in held])])
+    bounds = np.searchsorted(begin, np.searchsorted(first, ends))
+    # joined words stand behind their piece's own
+    joined, at = _joined(words, sizes, codes, piece)
+    if len(at):
+        piece = np.concatenate([piece, piece[at]])
+        order = np.argsort(piece, kind="stable")
+        codes, piece = np.concatenate([codes, joined])[order], piece[order]
+        length = np.bincount(piece, minlength=len(length))
+        starts = np.cumsum(length) - length
+    # each word once, where it stands first
+    wide, deep = len(words), int(length.max())
+    key = np.sort((piece * wide + codes) * deep + np.arange(len(piece)) - np.repeat(starts, length))
+    again = key[1:][key[1:] // deep == key[:-1] // deep]
+    again_in = again // (wide * deep)
+    keep = np.ones(len(codes), bool)
+    keep[starts[again_in] + again % deep] = False
+    length = length - np.bincount(again_in, minlength=len(length))
+    return Read(words, codes[keep], np.concatenate([[0], np.cumsum(length)]), bounds)
+
+
+def _joined(words: list[str], sizes: np.ndarray, codes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of short neighbours, and runs of three or more single signs, each as one word: its code and where it begins.
+    New words are appended to ``words``."""
+    size = sizes[codes]
+    short = size < 4
+    pair = np.flatnonzero(short[:-1] & short[1:] & (size[:-1] + size[1:] > 3) & (piece[:-1] == piece[1:]))
+    key, which = np.unique(codes[pair] * len(sizes) + codes[pair + 1], return_inverse=True)
+    texts = [words[a] + words[b] for a, b in zip((key // len(sizes)).tolist(), (key % len(sizes)).tolist())]
+    single = np.flatnonzero(size == 1)
+    edges = np.flatnonzero((np.diff(single) > 1) | (np.diff(piece[single]) > 0)) + 1
+    run, end = np.concatenate([[0], edges]), np.concatenate([edges, [len(single)]])
+    long = end - run > 2
+    run, many = single[run[long]] if len(single) else np.zeros(0, np.int64), (end - run)[long]
+    signs = "".join([words[c] for c in codes[np.repeat(run - (np.cumsum(many) - many), many) + np.arange(many.sum())].tolist()])
+    runs = [signs[b - n : b] for b, n in zip(np.cumsum(many).tolist(), many.tolist())]
+    if not texts and not runs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    alike = np.flatnonzero((sizes > 2) & (sizes <= max(6, many.max(initial=0)))).tolist()
+    number = {words[i]: i for i in alike}
+    out = []
+    for text in chain(texts, runs):
+        if (code := number.get(text)) is None:
+            code = number[text] = len(words)
+            words.append(text)
+        out.append(code)
+    out = np.array(out, np.int64)
+    return np.concatenate([out[: len(texts)][which], out[len(texts) :]]), np.concatenate([pair, run])
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence."""
-    flat: list[str] = []
-    ends: list[int] = []
-    add_sentences(text, flat, ends)
-    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+    cut = read([text])
+    return [cut.sentence(i) for i in range(len(cut.bounds) - 1)]
+
+
+def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in groups of about GROUP_CHARS, one text at least."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class Landmarks:
@@ -199,6 +290,12 @@ class Landmarks:
     def sentence(self, words: list[str]) -> np.ndarray:
         return self.words(words, self.kernel).sum(axis=0)
 
+    def sentences(self, many: list[list[str]]) -> np.ndarray:
+        """``sentence`` of each, with each distinct word once."""
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(many)))}
+        values = self.words(list(number), self.kernel)
+        return np.array([values[[number[w] for w in words]].sum(axis=0) if words else np.zeros(len(self.marks)) for words in many])
+
 
 def _machine(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """A squared-hinge support vector machine, bias last, by Newton steps that are halved until they improve."""
@@ -295,44 +392,59 @@ class Evidence:
 
 
 class Scorer:
-    """Texts' margins. What recent words add is remembered; those new in a group of texts are computed together."""
+    """Texts' margins. What recent words add is remembered in two generations; those new in a group of texts are computed
+    together, words with the same letters and digits once."""
 
     def __init__(self, model: Model | Evidence):
         self.model = model
         self.known: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
     def all(self, texts: Iterable[str]) -> Iterator[tuple[float, list[str]]]:
         """For each text the margin of its worst sentence, and that sentence's words; without words one below the
         bias, and none."""
-        held, size = [], 0
-        for x in texts:
-            held.append(x)
-            size += len(x)
-            if size >= GROUP_CHARS:
-                yield from self._group(held)
-                held, size = [], 0
-        yield from self._group(held)
-
-    def _group(self, texts: list[str]) -> Iterator[tuple[float, list[str]]]:
-        flat: list[str] = []
-        ends: list[int] = []
-        last = [add_sentences(x, flat, ends) or len(ends) for x in texts]
+        for group in grouped(texts):
+            cut = read(group)
+            for margin, at in zip(*self.worst_of(cut)):
+                yield margin, [] if at < 0 else cut.sentence(at)
+
+    def worst_of(self, cut: Read) -> tuple[list[float], list[int]]:
+        """For each text the margin of its worst sentence and which it is, or -1."""
+        begin, end = cut.texts[:-1], cut.texts[1:]
+        margin, at = np.full(len(begin), self.model.bias - 1.0), np.full(len(begin), -1)
+        some = np.flatnonzero(begin < end)
+        if len(some):
+            sums = np.add.reduceat(self._added(cut.words)[cut.codes], cut.bounds[:-1]) + self.model.bias
+            margin[some] = np.maximum.reduceat(sums, begin[some])
+            most = np.flatnonzero(sums == np.repeat(margin, end - begin))
+            at[some] = most[np.searchsorted(most, begin[some])]
+        return [round(m, 9) for m in margin.tolist()], at.tolist()
+
+    def _added(self, words: list[str]) -> np.ndarray:
+        """What each of the distinct words adds to a sentence's margin."""
         if len(self.known) >= CACHE:
-            self.known.clear()
-        new = list(set(flat).difference(self.known))
-        self.known.update(zip(new, self.model.margins(new).tolist()) if new else ())
-        added = np.fromiter(map(self.known.__getitem__, flat), float, len(flat))
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.known[w]
-        starts = np.array([0, *ends])
-        sums = np.add.reduceat(added, starts[:-1]) + self.model.bias if ends else added
-        for first, end in zip([0, *last], last):
-            if first == end:
-                yield self.model.bias - 1.0, []
-            else:
-                worst = first + int(np.argmax(sums[first:end]))
-                yield round(float(sums[worst]), 9), flat[starts[worst] : starts[worst + 1]]
+            self.older, self.known = self.known, {}
+        out = list(map(self.known.get, words))
+        new: dict[str, int] = {}
+        missing, which = [], []
+        for i in [i for i, value in enumerate(out) if value is None]:
+            w = words[i]
+            if (value := self.older.get(w)) is None:
+                own = plain(w)
+                if own == w or (value := self.known.get(own, self.older.get(own))) is None:
+                    missing.append(i)
+                    which.append(new.setdefault(own, len(new)))
+                    continue
+            out[i] = value
+            if len(w) <= CACHE_CHARS:
+                self.known[w] = value
+        out = np.array(out, float)
+        if new:
+            values = self.model.margins(list(new))
+            out[missing] = values[which]
+            self.known.update({w: value for w, value in zip(new, values.tolist()) if len(w) <= CACHE_CHARS})
+            self.known.update({w: value for w, value in zip([words[i] for i in missing], out[missing].tolist()) if len(w) <= CACHE_CHARS})
+        return out
 
     def worst(self, text: str) -> tuple[float, list[str]]:
         return next(self.all([text]))
@@ -354,7 +466,7 @@ def margins(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(stamp, shared.value)
         for batch in batches:
-            out = [m for m, _ in scorer.all(x.as_py() for x in batch.column(1))]
+            out = [m for group in grouped(x.as_py() for x in batch.column(1)) for m in scorer.worst_of(read(group))[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["key", "margin"])
 
     return rows.select("key", no_null("text").alias("text")).mapInArrow(run, "key long, margin double")
@@ -385,9 +497,15 @@ def _counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, text in zip(batch.column(0), batch.column(1)):
-                parts = {p for s in sentences(text.as_py()) for w in s for p in parts_of(w)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array([toxic.as_py()] * len(parts), pa.int32())], names=["part", "toxic"])
+            marked = iter(batch.column(0).to_pylist())
+            for group in grouped(x.as_py() for x in batch.column(1)):
+                cut = read(group)
+                own, places = [parts_of(w) for w in cut.words], cut.bounds[cut.texts].tolist()
+                parts, toxic = [], []
+                for a, b, mark in zip(places, places[1:], marked):
+                    parts += {p for c in set(cut.codes[a:b].tolist()) for p in own[c]}
+                    toxic += [mark] * (len(parts) - len(toxic))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(toxic, pa.int32())], names=["part", "toxic"])
 
     return rows.select("toxic", "text").mapInArrow(run, "part string, toxic int").groupBy("part").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
 
@@ -399,11 +517,17 @@ def _examples(rows: DataFrame, landmarks: Landmarks, model: Model | Evidence) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, score = Landmarks(shared.value[0]), Scorer(shared.value[1])
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for sign, toxic, text, (margin, words) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, score.all(texts)):
-                every = [] if toxic else sentences(text)
-                pair = [marks.sentence(words), marks.sentence(every[sign % len(every)] if every else [])]
-                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([margin], pa.float64()), *(pa.array([z.astype("<f4").tobytes()], pa.binary()) for z in pair)], names=["toxic", "margin", "worst", "other"])
+            rest = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for group in grouped(x.as_py() for x in batch.column(2)):
+                cut = read(group)
+                pairs, toxic = [], []
+                margin, worst = score.worst_of(cut)
+                for first, end, at, (sign, mark) in zip(cut.texts.tolist(), cut.texts[1:].tolist(), worst, rest):
+                    pairs += [cut.sentence(at) if at >= 0 else [], [] if mark or first == end else cut.sentence(first + sign % (end - first))]
+                    toxic.append(mark)
+                for i in range(0, len(toxic), AT_ONCE):
+                    z = [x.tobytes() for x in marks.sentences(pairs[2 * i : 2 * (i + AT_ONCE)]).astype("<f4")]
+                    yield pa.RecordBatch.from_arrays([pa.array(toxic[i : i + AT_ONCE], pa.int32()), pa.array(margin[i : i + AT_ONCE], pa.float64()), pa.array(z[::2], pa.binary()), pa.array(z[1::2], pa.binary())], names=["toxic", "margin", "worst", "other"])
 
     seen = rows.select("sign", "toxic", "text").mapInArrow(run, "toxic int, margin double, worst binary, other binary").collect()  # at most MAX_LABELLED
     z = [np.array([np.frombuffer(r[c], "<f4") for r in seen], float).reshape(len(seen), -1) for c in ("worst", "other")]

@@ -1,7 +1,9 @@
 """The sentence kernel against its definition, what the machine tolerates, training on odd rows and held-out quality."""
 
+import re
 import zlib
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -61,6 +63,52 @@ def test_two_clean_words_can_be_an_insult():
     assert of("you total waste of space")[0] > max(of(c)[0] for c in clean)
 
 
+def plain_sentences(text):
+    """The definition of reading: sentence by sentence, word by word."""
+    out = []
+    for line in re.split(r"(?<=[.!?])\s+|\n+", text.lower()):
+        words = line.split()
+        step = toxicity.SENTENCE // 2
+        for piece in [words[i : i + 2 * step] for i in range(0, max(1, len(words) - step), step)] if words else []:
+            pairs = [a + b for a, b in zip(piece, piece[1:]) if len(a) < 4 > len(b) and len(a + b) > 3]
+            runs = ["".join(g) for single, g in groupby(piece, lambda w: len(w) == 1) if single]
+            out.append(list(dict.fromkeys(piece + pairs + [r for r in runs if len(r) > 2])))
+    return out
+
+
+WORDS = st.sampled_from(["a", "b", "é", "ab", "中文", "abc", "abcd", "you.", "İx", "!", "id", "iot"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="ab.!?İßK中🙂 \t\n\r\x1c\x85\xa0\u2003\u3000", max_size=60), st.lists(WORDS, max_size=130).map(" ".join)), max_size=5))
+def test_texts_read_together_as_one_by_one(texts):
+    cut = toxicity.read(texts)
+    assert [[cut.sentence(i) for i in range(a, b)] for a, b in zip(cut.texts, cut.texts[1:])] == [plain_sentences(x) for x in texts]
+
+
+def test_white_space_is_that_of_python():
+    assert all(chr(c).isspace() == bool(toxicity._WIDE_SPACE.fullmatch(chr(c)) or c < 128 and toxicity._SPACE[c]) for c in range(0x110000))
+
+
+def test_known_words_are_not_computed_again(monkeypatch):
+    """The same letters and digits once, whatever signs stand beside them, and common words once however many follow."""
+    asked = []
+
+    class Model:
+        bias = 0.0
+
+        def margins(self, words):
+            asked.extend(words)
+            return np.array([len(w) for w in words], float)
+
+    monkeypatch.setattr(toxicity, "CACHE", 100)
+    monkeypatch.setattr(toxicity, "GROUP_CHARS", 1)
+    scorer = toxicity.Scorer(Model())
+    got = list(scorer.all(["moron, moron (moron) moron!"] + [f"common word{i}" for i in range(1000)]))
+    assert got[0] == (20.0, ["moron,", "moron", "(moron)", "moron!"]) and got[-1] == (13.0, ["common", "word999"])
+    assert asked.count("moron") == 1 and asked.count("common") == 1 and len(scorer.known) + len(scorer.older) < 300
+
+
 def labelled(spark, tmp, copies=1):
     rows, labels, rng = [], [], np.random.default_rng(8)
     for i in range(600):
