@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,11 @@ def no_null(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The column's strings, made by Arrow at once: ``to_pylist`` goes by a Python object for each value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value evaluated once for each row, however often the body names it."""
     return F.transform(F.array(value), body)[0]

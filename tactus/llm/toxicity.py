@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm.common import let, no_null, table, written
+from tactus.llm.common import let, no_null, strings, table, written
 
 FOLDS = 5
 #: The most labelled texts that training reads.
@@ -105,7 +105,10 @@ def _subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for j, k in _SHAPES:
         key = ((first[:-k] * _SIGNS + x[j : j - k]) * _SIGNS + x[k:]) * len(_WEIGHTS) + (k - 2)
         keys.append(key[of[k:] == of[:-k]])
-    key, weight = np.divmod(np.sort(np.concatenate(keys)), len(_WEIGHTS))  # each with its weight's number
+    key = np.concatenate(keys)
+    key.sort()
+    weight = key % len(_WEIGHTS)  # each with its weight's number
+    key //= len(_WEIGHTS)
     new = np.flatnonzero(np.diff(key, prepend=-1))
     key, weight = key[new], np.add.reduceat(_WEIGHTS[weight], new) if len(new) else np.zeros(0)
     part = key // _SIGNS**3
@@ -129,7 +132,7 @@ def plain(word: str) -> str:
 def parts_of(word: str) -> list[str]:
     """What the kernel compares of a word: its letters and digits, in pieces if it is long; also with long runs of a sign
     as one, and without a sign that stands between all others."""
-    own = plain(word)
+    own = word if word.isalnum() else plain(word)
     if len(own) < 2:
         return []
     parts = [own] if len(own) <= PART else list(dict.fromkeys(_pieces(own, PART)))
@@ -165,7 +168,7 @@ def read(texts: list[str]) -> Read:
         return Read([], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64))
     offsets = np.concatenate([[0], np.cumsum(behind - first)])
     found = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]).dictionary_encode()
-    words, sizes = found.dictionary.to_pylist(), pc.utf8_length(found.dictionary).to_numpy()
+    words, sizes = strings(found.dictionary), pc.utf8_length(found.dictionary).to_numpy()
     codes = found.indices.to_numpy().astype(np.int64)
     last = _STOP[data[behind - 1]]
     ended = np.searchsorted(first, np.flatnonzero(data == 10)) - 1  # the word before each line's end
@@ -182,7 +185,7 @@ def read(texts: list[str]) -> Read:
     ends = np.concatenate([[0], np.cumsum([len(x) + 1 for x in held])])
     bounds = np.searchsorted(begin, np.searchsorted(first, ends))
     # joined words stand behind their piece's own
-    joined, at = _joined(words, sizes, codes, piece)
+    joined, at = _joined(words, found.dictionary, sizes, codes, piece)
     if len(at):
         piece = np.concatenate([piece, piece[at]])
         order = np.argsort(piece, kind="stable")
@@ -200,9 +203,9 @@ def read(texts: list[str]) -> Read:
     return Read(words, codes[keep], np.concatenate([[0], np.cumsum(length)]), bounds)
 
 
-def _joined(words: list[str], sizes: np.ndarray, codes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(words: list[str], known: pa.Array, sizes: np.ndarray, codes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of short neighbours, and runs of three or more single signs, each as one word: its code and where it begins.
-    New words are appended to ``words``."""
+    New words are appended to ``words``, which begins as the column ``known``."""
     size = sizes[codes]
     short = size < 4
     pair = np.flatnonzero(short[:-1] & short[1:] & (size[:-1] + size[1:] > 3) & (piece[:-1] == piece[1:]))
@@ -217,15 +220,12 @@ def _joined(words: list[str], sizes: np.ndarray, codes: np.ndarray, piece: np.nd
     runs = [signs[b - n : b] for b, n in zip(np.cumsum(many).tolist(), many.tolist())]
     if not texts and not runs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    alike = np.flatnonzero((sizes > 2) & (sizes <= max(6, many.max(initial=0)))).tolist()
-    number = {words[i]: i for i in alike}
-    out = []
-    for text in chain(texts, runs):
-        if (code := number.get(text)) is None:
-            code = number[text] = len(words)
-            words.append(text)
-        out.append(code)
-    out = np.array(out, np.int64)
+    both = pa.array(texts + runs, known.type)
+    out = pc.index_in(both, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+    fresh = np.flatnonzero(out < 0)
+    new = both.take(pa.array(fresh)).dictionary_encode()
+    out[fresh] = len(words) + new.indices.to_numpy()
+    words += strings(new.dictionary)
     return np.concatenate([out[: len(texts)][which], out[len(texts) :]]), np.concatenate([pair, run])
 
 
@@ -263,26 +263,37 @@ class Landmarks:
     def kernel(self, parts: list[str]) -> np.ndarray:
         """(parts x landmarks)."""
         size = len(self.marks)
-        out = np.zeros((len(parts), size))
+        out = np.empty((len(parts), size))
         for begin in range(0, len(parts), TOGETHER):
             of, sub, weight, norm = _subsequences(parts[begin : begin + TOGETHER])
-            hit = np.flatnonzero(self.many[sub])
-            many = self.many[sub[hit]]
-            at = np.repeat(self.first[sub[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            cell = np.repeat(of[hit], many) * size + self.of[at]
-            shared = np.bincount(cell, np.repeat(weight[hit], many) * self.value[at], len(norm) * size).reshape(-1, size) / norm[:, None]
+            many = self.many[sub]
+            hit = np.flatnonzero(many)
+            many = many[hit]
+            at = np.repeat(self.first[sub[hit]] - (np.cumsum(many) - many), many)
+            at += np.arange(len(at))
+            cell = np.repeat(of[hit].astype(np.int64) * size, many)
+            cell += self.of[at]
+            both = np.repeat(weight[hit], many)
+            both *= self.value[at]
+            shared = np.bincount(cell, both, len(norm) * size).reshape(-1, size) / norm[:, None]
             out[begin : begin + TOGETHER] = shared**POWER if POWER != 3 else shared * shared * shared
         return out
 
+    def weighed(self, parts: list[str], weights: np.ndarray) -> np.ndarray:
+        """``kernel(parts) @ weights``, without all of the kernel at once."""
+        steps = [self.kernel(parts[i : i + TOGETHER]) @ weights for i in range(0, len(parts), TOGETHER)]
+        return np.concatenate(steps) if steps else np.zeros(0)
+
     def words(self, words: list[str], value) -> np.ndarray:
         """For each word the sum over its parts of ``value``, which maps parts to an array."""
         parts = [parts_of(w) for w in words]
-        number = {p: i for i, p in enumerate(dict.fromkeys([p for own in parts for p in own]))}
+        flat = [p for own in parts for p in own]
+        number = {p: i for i, p in enumerate(dict.fromkeys(flat))}
         values = value(list(number))
         if not number:
             return np.zeros((len(words), *values.shape[1:]))
-        rows = values[[number[p] for own in parts for p in own]]
-        sizes = np.array([len(own) for own in parts])
+        rows = values[list(map(number.__getitem__, flat))]
+        sizes = np.array(list(map(len, parts)))
         out = np.zeros((len(words), *values.shape[1:]))
         out[sizes > 0] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[sizes > 0], axis=0)
         return out
@@ -360,7 +371,7 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """What each word adds to a sentence's margin."""
-        return self.landmarks.words(words, lambda parts: self.landmarks.kernel(parts) @ self.weights)
+        return self.landmarks.words(words, lambda parts: self.landmarks.weighed(parts, self.weights))
 
     def calibrate(self, margins: np.ndarray, toxic: np.ndarray) -> None:
         """The cut with the fewest errors, in the middle of the widest such gap; the slope from the classes' distance."""
@@ -421,20 +432,20 @@ class Scorer:
         return [round(m, 9) for m in margin.tolist()], at.tolist()
 
     def _added(self, words: list[str]) -> np.ndarray:
-        """What each of the distinct words adds to a sentence's margin."""
+        """What each of the distinct words adds to a sentence's margin: it depends on letters and digits alone, so these
+        are what is remembered."""
         if len(self.known) >= CACHE:
             self.older, self.known = self.known, {}
+        words = [w if w.isalnum() else plain(w) for w in words]
         out = list(map(self.known.get, words))
         new: dict[str, int] = {}
         missing, which = [], []
         for i in [i for i, value in enumerate(out) if value is None]:
             w = words[i]
             if (value := self.older.get(w)) is None:
-                own = plain(w)
-                if own == w or (value := self.known.get(own, self.older.get(own))) is None:
-                    missing.append(i)
-                    which.append(new.setdefault(own, len(new)))
-                    continue
+                missing.append(i)
+                which.append(new.setdefault(w, len(new)))
+                continue
             out[i] = value
             if len(w) <= CACHE_CHARS:
                 self.known[w] = value
@@ -443,7 +454,6 @@ class Scorer:
             values = self.model.margins(list(new))
             out[missing] = values[which]
             self.known.update({w: value for w, value in zip(new, values.tolist()) if len(w) <= CACHE_CHARS})
-            self.known.update({w: value for w, value in zip([words[i] for i in missing], out[missing].tolist()) if len(w) <= CACHE_CHARS})
         return out
 
     def worst(self, text: str) -> tuple[float, list[str]]:

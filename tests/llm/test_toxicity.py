@@ -109,6 +109,15 @@ def test_known_words_are_not_computed_again(monkeypatch):
     assert asked.count("moron") == 1 and asked.count("common") == 1 and len(scorer.known) + len(scorer.older) < 300
 
 
+def test_memory_holds_letters_and_digits_alone():
+    """Words that differ in their signs take one place of the bounded memory."""
+    scorer = toxicity.Scorer(toxicity.Model.fitted(MARKS, MARKS, CLEAN * 10))
+    alone = scorer.worst("moron")
+    scorer = toxicity.Scorer(scorer.model)
+    assert [m for m, _ in scorer.all(["moron", "moron,", "(moron)", "mo-ron!", "garden?"])][:4] == [alone[0]] * 4
+    assert set(scorer.known) == {"moron", "garden"}
+
+
 def labelled(spark, tmp, copies=1):
     rows, labels, rng = [], [], np.random.default_rng(8)
     for i in range(600):
