@@ -8,7 +8,8 @@ never crosses the point before a space that has a non-space sign on its left or
 * on the left: pieces of signs never take a space at their end.
 
 The tokens of a text are therefore the tokens of its chunks in order. Only spaces inside longer white space are not cut.
-Cutting, finding the distinct chunks and laying out their ids work on whole Arrow columns; Python sees distinct chunks.
+A word of ASCII letters and a stop at
+its end are two pieces, so the word is remembered without the stop. Cutting, finding the distinct chunks and laying out their ids work on whole Arrow columns; Python sees distinct chunks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tactus.llm.common import strings
+
 #: A space with white space on both sides is no cut. Python's \s holds all white space of the tokenizers and more.
 _CUT = re.compile(r"(?<!\s) | (?!\s)")
 #: Bytes that may end a white-space sign on the left of a space, and that may begin one on its right.
@@ -30,6 +33,7 @@ _AFTER = np.array([9 <= b <= 13 or 28 <= b <= 32 or b in (0xC2, 0xE1, 0xE2, 0xE3
 CACHE_ENTRIES = 450_000
 CACHE_CHARS = 48
 GROUP_BYTES = 1 << 24
+STOPS = ".,;:!?"
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +75,8 @@ class Chunks:
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], width: int, entries: int = CACHE_ENTRIES):
         self.encode_many, self.width, self.entries = encode_many, width, entries
+        #: Signs that are a piece of their own behind letters, at a chunk's end.
+        self.stops = dict(zip(STOPS, encode_many(list(STOPS))))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -78,19 +84,27 @@ class Chunks:
         """The encodings of distinct words, each behind a space."""
         if len(self.known) >= self.entries:
             self.older, self.known = self.known, {}
-        out = [self.known.get(w) for w in words]
-        unknown = []
-        for i, (w, ids) in enumerate(zip(words, out)):
-            if ids is None:
-                out[i] = old = self.older.get(w)
-                if old is None:
-                    unknown.append(i)
-                else:
-                    self.known[w] = old
-        for i, ids in zip(unknown, self.encode_many([" " + words[i] for i in unknown])):
-            out[i] = ids
-            if len(words[i]) <= CACHE_CHARS:
-                self.known[words[i]] = ids
+        out = list(map(self.known.get, words))
+        ended, unknown, fresh = [], [], {}
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            if w[-1:] in self.stops and (own := w[:-1]).isascii() and own.isalpha():
+                ended.append((i, own))
+                w = own
+                if w in self.known:
+                    continue
+            else:
+                unknown.append(i)
+            if (ids := self.older.get(w)) is None:
+                fresh[w] = b""
+            else:
+                self.known[w] = ids
+        fresh.update(zip(fresh, self.encode_many([" " + w for w in fresh])))
+        self.known.update({w: ids for w, ids in fresh.items() if len(w) <= CACHE_CHARS})
+        for i in unknown:
+            out[i] = fresh.get(words[i]) or self.known[words[i]]
+        for i, own in ended:
+            out[i] = (fresh.get(own) or self.known[own]) + self.stops[words[i][-1]]
         return out
 
     def group(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +117,7 @@ class Chunks:
         found = pc.if_else(pa.array(is_head), pa.scalar(None, words.type), words).dictionary_encode()
         codes = found.indices.fill_null(0).to_numpy().astype(np.int64)
         codes[heads] = len(found.dictionary) + np.arange(len(heads))
-        entries = [*self._encoded(found.dictionary.to_pylist()), *self.encode_many(words.take(pa.array(heads)).to_pylist()), end]
+        entries = [*self._encoded(strings(found.dictionary)), *self.encode_many(strings(words.take(pa.array(heads)))), end]
         # the columns in the order of the texts, each with the end behind it
         back = np.argsort(order, kind="stable")
         sizes = np.diff(first)[back] + 1

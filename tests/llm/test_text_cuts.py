@@ -38,6 +38,17 @@ def test_added_token_is_one(both):
     assert ids.tolist() == [64, 220, 50256, 275, 2]
 
 
+def test_a_stop_behind_letters_is_not_remembered(both):
+    """A word is encoded and remembered once, whatever stop ends it."""
+    texts = ["x moron. moron, moron! moron", "x moron; it's. a1. é. .. ,a. a b", "x it'. don't. . , A.B. U.S."]
+    own, tree = tokenstore.Tokens(P.path("byte_bpe_50k.json")), bpe.Bpe(both[2].ranks, P.PATTERN)
+    ids, bounds = own.ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*both[1].encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert [x.tolist() for x in tree.encode_all(texts)] == [both[3].encode_ordinary(x) for x in texts]
+    for chunks_ in (own.chunks, tree.chunks):
+        assert "moron" in chunks_.known and not any(w[:-1] == "moron" for w in chunks_.known)
+
+
 def test_megabytes(both, monkeypatch):
     monkeypatch.setattr(chunks, "GROUP_BYTES", 1 << 16)
     texts = ["word " * 300_000, "x" * 200_000, "", "the cat  sat\n\n on é " * 20_000]
