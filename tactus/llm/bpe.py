@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from tactus.llm.chunks import Chunks
 from tactus.llm.common import no_null, table, vocabulary
 
-#: Remembered joins, segments and pieces, and chunks: a bound on a worker's memory. Longer ones are not remembered.
-MEMORY = 400_000
-CHUNKS = 300_000
+#: Remembered joins, segments and pieces, chunks of one generation, and bytes of text handled at a time: a bound on a worker's
+#: memory, which it keeps through later stages. Longer ones are not remembered.
+MEMORY = 200_000
+CHUNKS = 150_000
+GROUP_BYTES = 1 << 21
 SEGMENT_BYTES = 6
 PIECE_BYTES = 24
 NEVER = 1 << 60
@@ -51,7 +53,7 @@ class Bpe:
         self.joins: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.segments: dict[bytes, tuple[int, ...]] = {}
         self.done: dict[str, bytes] = {}
-        self.chunks = Chunks(lambda chunks: [self._chunk(c) if c else b"" for c in chunks], 4, CHUNKS)
+        self.chunks = Chunks(lambda chunks: [self._chunk(c) if c else b"" for c in chunks], 4, CHUNKS, GROUP_BYTES)
 
     def _merged(self, data: bytes) -> tuple[int, ...]:
         """Some bytes, merged from single ones by lowest rank, leftmost first."""
@@ -101,6 +103,8 @@ class Bpe:
         if got is None:
             got = self._merged(b"".join([self.bytes[t] for t in tokens]))
             if len(tokens) <= 4:
+                if got == tokens:
+                    got = tokens  # one tuple for both
                 if len(self.joins) >= MEMORY:
                     self.joins.clear()
                 self.joins[tokens] = got
@@ -138,21 +142,25 @@ class Bpe:
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk[1:].isalpha() and chunk[0] == " ":
-            return self._piece(chunk)
+            return self._encoded(chunk.encode())  # remembered as a chunk
         return b"".join([self._piece(p) for p in self.pieces(chunk)])
 
     def _piece(self, piece: str) -> bytes:
         got = self.done.get(piece)
         if got is None:
             data = piece.encode()
-            whole = self.ranks.get(data)
-            got = array("I", self.segment(data) if whole is None else (whole,)).tobytes()
+            got = self._encoded(data)
             if len(data) <= PIECE_BYTES:
                 if len(self.done) >= MEMORY:
                     self.done.clear()
                 self.done[piece] = got
         return got
 
+    def _encoded(self, data: bytes) -> bytes:
+        """The ids of a piece's bytes."""
+        whole = self.ranks.get(data)
+        return array("I", self.segment(data) if whole is None else (whole,)).tobytes()
+
     def encode_all(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         return self.chunks.texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))

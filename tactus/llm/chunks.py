@@ -44,14 +44,15 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def groups(texts: pa.Array) -> Iterator[pa.Array]:
-    """The column in slices of about GROUP_BYTES, one text at least."""
+def groups(texts: pa.Array, size: int | None = None) -> Iterator[pa.Array]:
+    """The column in slices of about ``size`` bytes, GROUP_BYTES at most, one text at least."""
+    size = min(size or GROUP_BYTES, GROUP_BYTES)
     if not len(texts):
         return
     _, ends = _bytes(texts)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + GROUP_BYTES)) - 1)
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + size)) - 1)
         yield texts.slice(first, last - first)
         first = last
 
@@ -73,8 +74,8 @@ class Chunks:
     """Encodes texts chunk by chunk. ``known[w]`` is the encoding of a space and w; recent short chunks are remembered
     in two generations, and those new in a group of texts go to ``encode_many`` together."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], width: int, entries: int = CACHE_ENTRIES):
-        self.encode_many, self.width, self.entries = encode_many, width, entries
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], width: int, entries: int = CACHE_ENTRIES, group_bytes: int | None = None):
+        self.encode_many, self.width, self.entries, self.group_bytes = encode_many, width, entries, group_bytes
         #: Signs that are a piece of their own behind letters, at a chunk's end.
         self.stops = dict(zip(STOPS, encode_many(list(STOPS))))
         self.known: dict[str, bytes] = {}
@@ -135,7 +136,7 @@ class Chunks:
 
     def texts(self, texts: pa.Array, end: bytes = b"") -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for part in groups(texts):
+        for part in groups(texts, self.group_bytes):
             ids, bounds = self.group(part, end)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 yield ids[a:b]

@@ -1,5 +1,7 @@
 """Cutting and encoding whole Arrow columns against the tokenizer libraries, text by text."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
@@ -56,3 +58,27 @@ def test_megabytes(both, monkeypatch):
         assert np.array_equal(got, both[3].encode_ordinary(text))
     for got, text in zip(both[0].chunks.texts(pa.array(texts)), texts):
         assert got.tolist() == both[1].encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_many_texts(both):
+    """What the encoder holds for a moment depends on its groups, not on the size of an Arrow batch."""
+    text = "the cat sat on it " * 120
+    texts, expected = pa.array([text] * 4000), both[3].encode_ordinary(text)
+    next(both[2].encode_all([text]))
+    tracemalloc.start()
+    try:
+        for n, ids in enumerate(both[2].encode_all(texts)):
+            assert n % 500 or ids.tolist() == expected
+        assert n == 3999 and tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_and_joins_are_held_once(both):
+    """A chunk of one piece is remembered as a chunk only, and a join that changes nothing is its own key."""
+    tree = bpe.Bpe(both[2].ranks, P.PATTERN)
+    texts = ["a qzxlorvik wertzuiopq (plugh) x9y", "\u00e9 \u65e5\u672c qqqqqqqqqqxx"]
+    assert [x.tolist() for x in tree.encode_all(texts)] == [both[3].encode_ordinary(x) for x in texts]
+    assert "qzxlorvik" in tree.chunks.known and " qzxlorvik" not in tree.done
+    same = [got is key for key, got in tree.joins.items() if got == key]
+    assert same and all(same)
