@@ -3,7 +3,7 @@
 All documents are tokenized once and the ids kept as 16 or 32 bit arrays in the shared folder; each task counts its ids
 as it goes, one row for a task. An id's rank by falling count is what the files hold, so frequent ids take one byte. A value takes 1 to 4
 bytes; its length less one stands in two bits of a control byte for four values, apart from the data bytes. The reader
-looks control bytes up in a table of lengths and places the data bytes by one masked assignment.
+looks control bytes up in a table of lengths, whose sums say where each value begins.
 
 A file holds the blocks of a contiguous range of ascending doc_ids, written through Spark's own committer, so a task
 that runs twice leaves one file, and any store that Spark knows will do. A block (a row of the file) has: start (ids of
@@ -27,34 +27,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tactus.llm.chunks import Chunks, groups
+from tactus.llm.chunks import Pieces, groups
 from tactus.llm.common import no_null, scratch, table, vocabulary, written
 
 END_ID = 2
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
 
-#: For each control byte the lengths of its four values.
-LENGTHS = np.array([[1 + (c >> shift & 3) for shift in (0, 2, 4, 6)] for c in range(256)], np.uint8)
-_PLACES = np.arange(4, dtype=np.uint8)
+#: For each control byte the lengths of its four values, a byte each.
+LENGTHS = np.array([[1 + (c >> shift & 3) for shift in (0, 2, 4, 6)] for c in range(256)], np.uint8).view("<u4").reshape(-1)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
-    length = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    longer = [np.flatnonzero(v > (1 << 8 * k) - 1) for k in (1, 2, 3)]
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    codes[: len(v)] = length - 1
-    codes = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    return np.bitwise_or.reduce(codes, axis=1).tobytes(), v.view(np.uint8).reshape(-1, 4)[_PLACES < length[:, None]].tobytes()
+    for at in longer:
+        codes[at] += 1
+    starts = np.cumsum(codes[: len(v)], dtype=np.int64) - codes[: len(v)] + np.arange(len(v))
+    data = np.empty(len(v) + sum(map(len, longer)), np.uint8)
+    data[starts] = v.view(np.uint8)[::4]
+    for k, at in enumerate(longer, 1):
+        data[starts[at] + k] = v.view(np.uint8)[k::4][at]
+    four = codes.view("<u4")
+    return (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values of ``pack``."""
-    length = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[_PLACES < length[:, None]] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")
+    length = LENGTHS[np.frombuffer(control, np.uint8)].view(np.uint8)[:n]
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.cumsum(length, dtype=np.int64) - length
+    out = raw[starts].astype("<u4")
+    for k in range(1, int(length.max(initial=1))):
+        at = np.flatnonzero(length > k)
+        out[at] |= raw[starts[at] + k].astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 #: Chunks that go to the tokenizer as one text.
@@ -75,7 +84,7 @@ class Tokens:
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)  # byte-level tokens have a character for each byte
-        self.chunks = Chunks(self.encode_many, self.width)
+        self.chunks = Pieces(self.encode_many, self.width)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

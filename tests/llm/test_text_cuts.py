@@ -10,6 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tactus.llm import bpe, chunks, tokenstore
 
@@ -51,6 +52,39 @@ def test_a_stop_behind_letters_is_not_remembered(both):
         assert "moron" in chunks_.known and not any(w[:-1] == "moron" for w in chunks_.known)
 
 
+def test_signs_and_line_breaks_are_not_remembered(both):
+    """A word is encoded once, whatever signs or line break follow it, with letters beyond ASCII too."""
+    texts = ["x moron&&& moron.%%% moron.\nVoilà", "x voilà. voilà, voilà\nmoron's", "Voilà!\nmoron.\n\nmoron \n a× ×a ÷. \u0283."]
+    own, asked = tokenstore.Tokens(P.path("byte_bpe_50k.json")), []
+    plain = own.chunks.encode_many
+    own.chunks.encode_many = lambda chunks: asked.extend(chunks) or plain(chunks)
+    ids, bounds = own.ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*both[1].encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert sorted(c for c in asked if "moron" in c) == [" moron", ".\n\nmoron", "moron"]
+    assert sorted(c for c in asked if "oil" in c) == [" voilà", "Voilà"]
+
+
+CUT_SIGNS = SIGNS + "\r\x0b\x00\u1680\u180e\u2009\u200b\u2028\u205f\u3001’”ÀĀ×÷ɐˇ\u0301ª٣²Ж"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=CUT_SIGNS, max_size=20), max_size=5))
+def test_no_piece_crosses_a_cut(texts):
+    """The pre-tokenizer finds in the chunks what it finds in the texts, also where no token of the vocabulary tells."""
+    cut = ByteLevel(add_prefix_space=False, use_regex=True)
+    found, bounds = chunks._pieces(pa.array(["a ", *texts, "b"], pa.string()).slice(1, len(texts)))
+    assert len(bounds) == len(texts) + 1
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert "".join(found[a:b].to_pylist()) == text
+        assert [x for c in found[a:b].to_pylist() for x, _ in cut.pre_tokenize_str(c)] == [x for x, _ in cut.pre_tokenize_str(text)]
+
+
+def test_packed_bytes():
+    """The bytes of the format: lengths less one in pairs of bits, low bits first, and the values' low bytes first."""
+    assert tokenstore.pack(np.array([5, 0x102, 0x30201, 0x4030201, 255], "<u4")) == (b"\xe4\x00", b"\x05\x02\x01\x01\x02\x03\x01\x02\x03\x04\xff")
+    assert tokenstore.pack(np.array([], "<u4")) == (b"", b"")
+
+
 def test_megabytes(both, monkeypatch):
     monkeypatch.setattr(chunks, "GROUP_BYTES", 1 << 16)
     texts = ["word " * 300_000, "x" * 200_000, "", "the cat  sat\n\n on é " * 20_000]
